@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.config import LAGS, PERIOD, PanelConfig
 from monthloom.functions.calendar import flag, month_cos, month_sin
-
-# All windows below share one layout by series and one order by month, so a chain of them needs one shuffle.
-_BY_SERIES = Window.partitionBy("series_id")
-_IN_ORDER = _BY_SERIES.orderBy("ds")
-
+from monthloom.functions.layout import by_series, in_order
 
 def calendar_features(rows: DataFrame, cfg: PanelConfig, anomaly: bool = True) -> DataFrame:
     """Cyclic month, season flags and the anomaly flag; ``anomaly=False`` sets that flag to 0."""
@@ -33,8 +29,8 @@ def add_features(panel: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFram
 
     Year bounds are those of the whole series, before that drop.
     """
-    first, last = F.min("year").over(_BY_SERIES), F.max("year").over(_BY_SERIES)
-    lagged = panel.withColumns({f"lag_{k}": F.lag("y", k).over(_IN_ORDER).cast("double") for k in LAGS})
+    first, last = F.min("year").over(by_series()), F.max("year").over(by_series())
+    lagged = panel.withColumns({f"lag_{k}": F.lag("y", k).over(in_order()).cast("double") for k in LAGS})
     scaled_year = lagged.withColumn("year_norm", (F.col("year") - first) / F.greatest(last - first, F.lit(1)))
     return calendar_features(scaled_year, cfg).dropna(subset=[f"lag_{k}" for k in LAGS])
 
@@ -45,7 +41,7 @@ def split_by_time(rows: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFram
     Series that would have no training row are left out; :func:`too_short` lists them.
     """
     counted = rows.withColumns(
-        {"position": F.row_number().over(_IN_ORDER), "n_rows": F.count(F.lit(1)).over(_BY_SERIES)}
+        {"position": F.row_number().over(in_order()), "n_rows": F.count(F.lit(1)).over(by_series())}
     ).where(F.col("n_rows") > cfg.test_months)
     is_train = F.col("position") <= F.col("n_rows") - cfg.test_months
     return counted.withColumn("split", F.when(is_train, "train").otherwise("test")).drop("position", "n_rows")
@@ -59,7 +55,7 @@ def too_short(panel: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFrame:
 
 def seasonal_difference(panel: DataFrame) -> DataFrame:
     """``y`` after one regular and one seasonal difference; NULL where a term is missing."""
-    y, lag = F.col("y"), lambda k: F.lag("y", k).over(_IN_ORDER)
+    y, lag = F.col("y"), lambda k: F.lag("y", k).over(in_order())
     return panel.withColumn("dy", (y - lag(1) - lag(PERIOD) + lag(PERIOD + 1)).cast("double"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.functions.calendar import month_start
+from monthloom.functions.layout import in_order
 from monthloom.session import fits_broadcast
 
 
@@ -50,8 +51,7 @@ def dense_months(monthly: DataFrame) -> DataFrame:
     Each row stands for itself and for the empty months up to the next row of its series, so the filling needs
     one pass over rows laid out by series and no join with a list of months.
     """
-    in_order = Window.partitionBy("series_id").orderBy("ds")
-    next_ds = F.lead("ds").over(in_order)
+    next_ds = F.lead("ds").over(in_order())
     until = F.coalesce(F.add_months(next_ds, -1), F.col("ds"))
     spans = monthly.select("series_id", F.col("ds").alias("seen"), "y", until.alias("until"))
     one_month = F.expr("INTERVAL 1 MONTH")

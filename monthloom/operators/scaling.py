@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.config import FEATURE_COLS
+from monthloom.functions.layout import by_series
 
 TARGET = "y"
-_BY_SERIES = Window.partitionBy("series_id")
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str] = (*FEATURE_COLS, TARGET)) -> DataFrame:
@@ -40,8 +40,8 @@ def standardise(split: DataFrame, columns: Sequence[str] = (*FEATURE_COLS, TARGE
     The same numbers as :func:`fit_scaler` on the training rows and :func:`apply_scaler`, in one pass over rows
     that already lie together by series.
     """
-    means = {f"_mean_{c}": F.avg(_train_only(c)).over(_BY_SERIES) for c in columns}
-    spreads = {f"_std_{c}": _spread(F.stddev_pop(_train_only(c)).over(_BY_SERIES)) for c in columns}
+    means = {f"_mean_{c}": F.avg(_train_only(c)).over(by_series()) for c in columns}
+    spreads = {f"_std_{c}": _spread(F.stddev_pop(_train_only(c)).over(by_series())) for c in columns}
     known = split.withColumns(means | spreads)
     scaled = known.withColumns({f"z_{c}": (F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_std_{c}") for c in columns})
     if TARGET in columns:
