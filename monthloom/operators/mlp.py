@@ -104,12 +104,24 @@ def predict_network(rows: DataFrame, network: Network, columns: Sequence[str] =
 
 def network_expression(network: Network, inputs: Column) -> Column:
     """The same output as a Spark expression over an array of doubles."""
-    values = inputs
-    for i, (w, b) in enumerate(zip(network.weights, network.biases)):
-        units = [dot(values, F.array(*map(F.lit, column.tolist()))) + F.lit(float(c)) for column, c in zip(w.T, b)]
-        last = i == len(network.weights) - 1
-        values = F.array(*[u if last else F.greatest(F.lit(0.0), u) for u in units])
-    return values[0]
+    last = len(network.weights) - 1
+    layers = F.array(
+        *[
+            F.struct(
+                F.lit([[*column, bias] for column, bias in zip(w.T.tolist(), b.tolist())]).alias("units"),
+                F.lit(i == last).alias("linear"),
+            )
+            for i, (w, b) in enumerate(zip(network.weights, network.biases))
+        ]
+    )
+
+    def apply(values: Column, layer: Column) -> Column:
+        # A unit is its weights followed by its bias, which meets an input of 1.
+        extended = F.array_append(values, F.lit(1.0))
+        sums = F.transform(layer["units"], lambda unit: dot(extended, unit))
+        return F.transform(sums, lambda z: F.when(layer["linear"], z).otherwise(F.greatest(F.lit(0.0), z)))
+
+    return F.aggregate(layers, inputs, apply)[0]
 
 
 def full_gradient(rows: DataFrame, network: Network, columns: Sequence[str] = Z_COLS, target: str = "z_y") -> DataFrame:
