@@ -155,13 +155,13 @@ def train_network(scaled: DataFrame, cfg: PanelConfig = PanelConfig(), tasks: in
     by their number of rows and handed out again. With one task this is plain mini-batch descent. What returns to
     the driver per round is one network and a few losses, whatever the number of rows. Rows lie in tasks by
     series and in order, and each task draws from a seed of its own, so a task that runs again gives the same.
+
+    Without ``tasks`` the rows are counted first, so pass a frame that is cheap to read again.
     """
     spark = scaled.sparkSession
-    wanted = scaled.select("series_id", "ds", "split", *Z_COLS, "z_y")
     if tasks is None:
-        # Counted on the way into the checkpoint folder, where the rounds read the rows from.
-        wanted = durable(wanted)
-        tasks = max(1, math.ceil(wanted.count() / cfg.mlp_rows_per_task))
+        tasks = max(1, math.ceil(scaled.count() / cfg.mlp_rows_per_task))
+    wanted = scaled.select("series_id", "ds", "split", *Z_COLS, "z_y")
     laid_out = durable(wanted.repartition(tasks, "series_id").sortWithinPartitions("series_id", "ds"))
     network = Network.seeded((len(Z_COLS), *cfg.mlp_hidden, 1), cfg.seed, cfg.mlp_learning_rate)
     losses, done = [], 0

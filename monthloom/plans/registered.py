@@ -270,7 +270,7 @@ def q_mlp_gradient(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_mlp_train(spark: SparkSession, folder: str) -> DataFrame:
-    trained = train_network(prepare(order_panel(spark, folder), CONFIG), CONFIG)
+    trained = train_network(durable(prepare(order_panel(spark, folder), CONFIG)), CONFIG)
     return rounded(trained.history, 4)
 
 
