@@ -62,7 +62,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 def read_metrics_document(spark: SparkSession, path: str, series_id: str = "all") -> DataFrame:
     """One JSON document of the form ``{model: {MAE, RMSE, MAPE}}`` as metric rows of one series."""
     try:
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException as error:
         raise _absent(error, path) from error
     return _metric_rows(text.select(F.lit(series_id).alias("series_id"), F.from_json("value", _METRICS).alias("metrics")))
