@@ -29,8 +29,9 @@ def add_features(panel: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFram
 
     Year bounds are those of the whole series, before that drop.
     """
-    first, last = F.min("year").over(by_series()), F.max("year").over(by_series())
-    lagged = panel.withColumns({f"lag_{k}": F.lag("y", k).over(in_order()).cast("double") for k in LAGS})
+    whole, ordered = by_series(), in_order()
+    first, last = F.min("year").over(whole), F.max("year").over(whole)
+    lagged = panel.withColumns({f"lag_{k}": F.lag("y", k).over(ordered).cast("double") for k in LAGS})
     scaled_year = lagged.withColumn("year_norm", (F.col("year") - first) / F.greatest(last - first, F.lit(1)))
     return calendar_features(scaled_year, cfg).dropna(subset=[f"lag_{k}" for k in LAGS])
 

@@ -81,14 +81,17 @@ def fit_holtwinters(arrays: DataFrame, cfg: PanelConfig = PanelConfig()) -> Data
     )
 
 
-def predict_holtwinters(params: DataFrame, steps: int | Column) -> DataFrame:
-    """Forecast rows ``(series_id, model, step, ds, yhat)`` for the months after ``train_end``."""
-    count = F.lit(steps) if isinstance(steps, int) else steps
+def predict_holtwinters(params: DataFrame, steps: int, skip: str | None = None) -> DataFrame:
+    """Forecast rows ``(series_id, model, step, ds, yhat)`` for the months after ``train_end``.
+
+    ``skip`` names a column of ``params`` with a number of months to leave out first; steps count from there.
+    """
+    left_out = F.lit(0) if skip is None else F.col(skip)
     rows = params.where((F.col("status") == "ok") & (F.col("model") == HOLT_WINTERS))
-    stepped = rows.withColumn("step", F.explode(F.sequence(F.lit(1), count)))
-    state, step = F.col("state"), F.col("step")
-    yhat = state[0] + step * state[1] + F.get(state, 2 + (step - 1) % PERIOD)
-    return stepped.select("series_id", "model", "step", F.add_months("train_end", step).alias("ds"), yhat.alias("yhat"))
+    stepped = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    state, ahead = F.col("state"), F.col("step") + left_out
+    yhat = state[0] + ahead * state[1] + F.get(state, 2 + (ahead - 1) % PERIOD)
+    return stepped.select("series_id", "model", "step", F.add_months("train_end", ahead).alias("ds"), yhat.alias("yhat"))
 
 
 # The fit. Errors of the recursion are linear in the start state, so for given weights the best start state is a

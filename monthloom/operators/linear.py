@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,13 +22,13 @@ def fit_linear(train: DataFrame, regressors: Sequence[str], target: str, model:
     Spark sums the products of all column pairs; Python only solves one small system per series. A regressor
     that is constant or repeats others gets the smallest coefficients that fit.
     """
-    pairs = [(a, b) for i, a in enumerate(regressors) for b in regressors[i:]]
+    squares = [f"sum(`{a}` * `{b}`)" for i, a in enumerate(regressors) for b in regressors[i:]]
     sums = train.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(c) for c in regressors]).alias("x_mean"),
+        F.expr(_array(f"avg(`{c}`)" for c in regressors)).alias("x_mean"),
         F.avg(target).alias("y_mean"),
-        F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).alias("xx"),
-        F.array(*[F.sum(F.col(c) * F.col(target)) for c in regressors]).alias("xy"),
+        F.expr(_array(squares)).alias("xx"),
+        F.expr(_array(f"sum(`{c}` * `{target}`)" for c in regressors)).alias("xy"),
         F.max("ds").alias("train_end"),
     )
     names = F.array(*[F.lit(n) for n in (INTERCEPT, *map(_plain, regressors))])
@@ -68,6 +68,10 @@ def coefficient_report(params: DataFrame, regressors: Sequence[str]) -> DataFram
     )
 
 
+def _array(items: Iterable[str]) -> str:
+    return f"array({', '.join(items)})"
+
+
 def _plain(column: str) -> str:
     return column.removeprefix("z_")
 

@@ -15,7 +15,7 @@ from pyspark.sql.functions import pandas_udf
 
 from monthloom.config import FEATURE_COLS, PanelConfig
 from monthloom.functions.numeric import dot
-from monthloom.session import durable
+from monthloom.session import checkpointed
 
 Z_COLS = tuple(f"z_{c}" for c in FEATURE_COLS)
 _LAYER_SCHEMA = (
@@ -162,7 +162,7 @@ def train_network(scaled: DataFrame, cfg: PanelConfig = PanelConfig(), tasks: in
     if tasks is None:
         tasks = max(1, math.ceil(scaled.count() / cfg.mlp_rows_per_task))
     wanted = scaled.select("series_id", "ds", "split", *Z_COLS, "z_y")
-    laid_out = durable(wanted.repartition(tasks, "series_id").sortWithinPartitions("series_id", "ds"))
+    laid_out = checkpointed(wanted.repartition(tasks, "series_id").sortWithinPartitions("series_id", "ds"))
     network = Network.seeded((len(Z_COLS), *cfg.mlp_hidden, 1), cfg.seed, cfg.mlp_learning_rate)
     losses, done = [], 0
     while done < cfg.mlp_epochs:

@@ -64,14 +64,20 @@ def fit_sarima(
 
 
 def predict_sarima(
-    params: DataFrame, steps: int | Column, exog_rows: DataFrame, exog: Sequence[str] = EXOG_COLS
+    params: DataFrame, steps: int, exog_rows: DataFrame, exog: Sequence[str] = EXOG_COLS, skip: str | None = None
 ) -> DataFrame:
-    """Forecast rows ``(series_id, model, step, ds, yhat)`` for those months after ``train_end`` in ``exog_rows``."""
-    count = F.lit(steps) if isinstance(steps, int) else steps
+    """Forecast rows ``(series_id, model, step, ds, yhat)`` for those months after ``train_end`` in ``exog_rows``.
+
+    ``skip`` names a column of ``params`` with a number of months to leave out first; steps count from there.
+    """
+    left_out = F.lit(0) if skip is None else F.col(skip)
     rows = params.where((F.col("status") == "ok") & (F.col("model") == SARIMA))
-    path = F.posexplode(_continued(F.col("state"), F.col("params"), count)).alias("pos", "base")
-    stepped = rows.select("series_id", "model", "params", "train_end", path)
-    dated = stepped.withColumns({"step": F.col("pos") + 1, "ds": F.add_months("train_end", F.col("pos") + 1)})
+    path = F.slice(_continued(F.col("state"), F.col("params"), left_out + steps), left_out + 1, steps)
+    stepped = rows.select("*", F.posexplode(path).alias("pos", "base"))
+    step = F.col("pos") + 1
+    dated = stepped.select(
+        "series_id", "model", "params", "base", step.alias("step"), F.add_months("train_end", step + left_out).alias("ds")
+    )
     joined = dated.join(exog_rows.select("series_id", "ds", *exog), ["series_id", "ds"])
     effects = [F.col("params")[c] * F.col(c) for c in exog]
     return joined.select("series_id", "model", "step", "ds", sum(effects, F.col("base")).alias("yhat"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.config import FEATURE_COLS
-from monthloom.functions.layout import by_series
 
 TARGET = "y"
 
@@ -40,13 +39,18 @@ def standardise(split: DataFrame, columns: Sequence[str] = (*FEATURE_COLS, TARGE
     The same numbers as :func:`fit_scaler` on the training rows and :func:`apply_scaler`, in one pass over rows
     that already lie together by series.
     """
-    means = {f"_mean_{c}": F.avg(_train_only(c)).over(by_series()) for c in columns}
-    spreads = {f"_std_{c}": _spread(F.stddev_pop(_train_only(c)).over(by_series())) for c in columns}
-    known = split.withColumns(means | spreads)
-    scaled = known.withColumns({f"z_{c}": (F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_std_{c}") for c in columns})
-    if TARGET in columns:
-        scaled = scaled.withColumns({"y_mean": F.col(f"_mean_{TARGET}"), "y_std": F.col(f"_std_{TARGET}")})
-    return scaled.drop(*means, *spreads)
+    over = "OVER (PARTITION BY series_id)"
+    train = {c: f"CASE WHEN split = 'train' THEN `{c}` END" for c in columns}
+    known = split.selectExpr(
+        "*",
+        *[f"avg({train[c]}) {over} AS `_mean_{c}`" for c in columns],
+        *[f"stddev_pop({train[c]}) {over} AS `_spread_{c}`" for c in columns],
+    )
+    # A constant column has deviation 0; it is divided by 1 instead.
+    std = {c: f"CASE WHEN `_spread_{c}` = 0 THEN 1.0D ELSE `_spread_{c}` END" for c in columns}
+    target = [f"`_mean_{TARGET}` AS y_mean", f"{std[TARGET]} AS y_std"] if TARGET in columns else []
+    scaled = [f"(`{c}` - `_mean_{c}`) / {std[c]} AS `z_{c}`" for c in columns]
+    return known.selectExpr(*[f"`{c}`" for c in split.columns], *scaled, *target)
 
 
 def unscale(value: Column) -> Column:
@@ -54,10 +58,6 @@ def unscale(value: Column) -> Column:
     return value * F.col("y_std") + F.col("y_mean")
 
 
-def _train_only(column: str) -> Column:
-    return F.when(F.col("split") == "train", F.col(column))
-
-
 def _spread(std: Column) -> Column:
     """A constant column has deviation 0; it is divided by 1 instead."""
     return F.when(std == 0, F.lit(1.0)).otherwise(std)

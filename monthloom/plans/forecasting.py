@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.config import FEATURE_COLS, HOLT_WINTERS, LINEAR, MLP, SARIMA, PanelConfig
+from monthloom.config import FEATURE_COLS, LINEAR, MLP, PanelConfig
 from monthloom.functions.calendar import months_between
 from monthloom.operators.features import add_features, future_features
 from monthloom.operators.history import checked_horizon
@@ -16,6 +16,7 @@ from monthloom.operators.mlp import Z_COLS, predict_network
 from monthloom.operators.sarima import predict_sarima
 from monthloom.operators.scaling import apply_scaler, unscale
 from monthloom.plans.training import FittedModels
+from monthloom.session import written_by_series
 
 
 def forecast_all(
@@ -31,22 +32,21 @@ def forecast_all(
     if models.network is None and models.params.where("status = 'ok'").isEmpty():
         raise RuntimeError("No fitted model can forecast; fit the models first.")
     future = future_features(add_features(panel, cfg), steps, cfg)
-    scaled = apply_scaler(future, models.scaler, FEATURE_COLS, keep_target=True)
+    # Three models read these few rows per series, so they are worked out once.
+    scaled = written_by_series(apply_scaler(future, models.scaler, FEATURE_COLS, keep_target=True))
     ends = panel.groupBy("series_id").agg(F.max("ds").alias("last_ds"))
-    fitted = models.params.join(ends, "series_id").withColumn("gap", months_between(F.col("last_ds"), F.col("train_end")))
-    to_the_end = F.col("gap") + steps
+    fitted = models.params.join(ends, "series_id")
+    gap = months_between(F.col("last_ds"), F.col("train_end"))
+    ahead = fitted.withColumn("gap", gap).where(gap >= 0)
     linear = predict_linear(scaled, models.params.where(F.col("model") == LINEAR), Z_COLS, out="z_yhat")
     parts = [
         _from_scaled(linear, LINEAR),
-        predict_sarima(fitted, to_the_end, future),
-        predict_holtwinters(fitted, to_the_end),
+        predict_sarima(ahead, steps, scaled, skip="gap"),
+        predict_holtwinters(ahead, steps, skip="gap"),
     ]
     if models.network is not None:
         parts.insert(0, _from_scaled(predict_network(scaled, models.network), MLP))
-    # The step counts from the end of the panel, which the future frame holds for each month.
-    asked = future.select("series_id", "ds", "step")
-    dated = [p.drop("step").join(asked, ["series_id", "ds"]) if "step" in p.columns else p for p in parts]
-    return as_counts(union_forecasts(*dated)).select("series_id", "model", "step", "ds", "yhat")
+    return as_counts(union_forecasts(*parts)).select("series_id", "model", "step", "ds", "yhat")
 
 
 def forecast_status(models: FittedModels) -> DataFrame:

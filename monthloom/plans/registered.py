@@ -28,7 +28,7 @@ from monthloom.operators.sarima import error_path, fit_sarima
 from monthloom.operators.scaling import apply_scaler, fit_scaler, standardise, unscale
 from monthloom.plans.forecasting import forecast_all
 from monthloom.plans.training import evaluate_models, prepare, spread
-from monthloom.session import durable
+from monthloom.session import written_by_series
 from monthloom.sources.panels import order_panel, shipment_panel
 
 # The years that stand in for an anomaly in these tables, and the filters of the history queries.
@@ -270,7 +270,7 @@ def q_mlp_gradient(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_mlp_train(spark: SparkSession, folder: str) -> DataFrame:
-    trained = train_network(durable(prepare(order_panel(spark, folder), CONFIG)), CONFIG)
+    trained = train_network(written_by_series(prepare(order_panel(spark, folder), CONFIG)), CONFIG)
     return rounded(trained.history, 4)
 
 
@@ -300,7 +300,7 @@ def q_backtest_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_forecast_all(spark: SparkSession, folder: str) -> DataFrame:
-    panel = durable(order_panel(spark, folder))
+    panel = written_by_series(order_panel(spark, folder))
     return _labelled(forecast_all(panel, evaluate_models(panel, CONFIG).models, 12, CONFIG))
 
 

@@ -16,7 +16,7 @@ from monthloom.operators.metrics import score, union_forecasts
 from monthloom.operators.mlp import Z_COLS, Network, Training, predict_network, train_network
 from monthloom.operators.sarima import fit_sarima, predict_sarima
 from monthloom.operators.scaling import fit_scaler, standardise, unscale
-from monthloom.session import durable
+from monthloom.session import shuffle_partitions, written_by_series
 
 
 @dataclass(frozen=True)
@@ -53,9 +53,9 @@ def spread(rows: DataFrame) -> DataFrame:
     """Lay rows out by series over a fixed number of tasks.
 
     Fitting costs much time per byte. Adaptive planning sizes tasks by bytes and would put all of it into a few,
-    but leaves an explicit number of partitions alone.
+    but leaves an explicit number of partitions alone. Rows written by series lie this way already.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id")
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "series_id")
 
 
 def backtest_forecasts(prepared: DataFrame, params: DataFrame, network: Network | None, cfg: PanelConfig) -> DataFrame:
@@ -74,8 +74,8 @@ def backtest_forecasts(prepared: DataFrame, params: DataFrame, network: Network
 
 def evaluate_models(panel: DataFrame, cfg: PanelConfig = PanelConfig()) -> Evaluation:
     """Prepare, fit all four models, and score them on the same held-out months."""
-    prepared = durable(prepare(panel, cfg))
-    params = durable(fit_per_series(prepared, cfg))
+    prepared = written_by_series(prepare(panel, cfg))
+    params = written_by_series(fit_per_series(prepared, cfg))
     training = train_network(prepared, cfg)
     scaler = fit_scaler(prepared.where("split = 'train'"))
     forecasts = backtest_forecasts(prepared, params, training.network, cfg)

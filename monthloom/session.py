@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Spares a look at the Python call stack for every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Rows that already lie together by series need no second shuffle to join by series and month.
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .getOrCreate()
@@ -30,13 +33,37 @@ def fits_broadcast(df: DataFrame) -> bool:
     return limit >= 0 and int(str(estimate)) <= limit
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there.
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, so what was computed outlives the
-    executors that computed it. A temporary folder is used only on a local master that names none.
+
+def written_by_series(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder in buckets of whole series and go on from the written table.
+
+    What was computed outlives the executors that computed it, readers take only the columns and rows they need,
+    and steps by series need no further shuffle. Buckets also fix the number of tasks, which keeps fitting spread
+    out: it costs much time per byte, and adaptive planning would size its tasks by bytes.
     """
     spark = df.sparkSession
+    name = f"monthloom_{uuid.uuid4().hex}"
+    buckets = shuffle_partitions(spark)
+    order = [c for c in ("series_id", "ds") if c in df.columns]
+    writer = df.repartition(buckets, "series_id").write.bucketBy(buckets, "series_id").sortBy(*order)
+    writer.option("path", f"{_checkpoint_folder(spark)}/{name}").saveAsTable(name)
+    written = spark.table(name)
+    # Only the name is taken out of the catalog; the files belong to the folder.
+    spark.sql(f"DROP TABLE {name}")
+    return written
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` in the checkpoint folder with its partitions and their order as they are."""
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only on a local master without."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,4 +72,4 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="monthloom-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
