@@ -44,6 +44,9 @@ def _orders_by(column: str) -> str:
 
 PANEL = "WITH RECURSIVE" + _orders_by("n_name")
 SEGMENTS = "WITH" + _orders_by("c_mktsegment")
+CUSTOMERS = "WITH" + _panel("""
+      SELECT CAST(o_custkey AS VARCHAR) AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,
+             CAST(o_orderdate AS DATE) AS day, 1 AS v FROM orders""")
 SHIPMENTS = "WITH" + _panel("""
       SELECT CAST(l_suppkey AS VARCHAR) AS series_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS ds,
              CAST(l_shipdate AS DATE) AS day, l_quantity AS v FROM lineitem""")
@@ -123,6 +126,39 @@ OLS2 = SPLIT + """,
     ols AS (SELECT series_id, ym - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM slopes)"""
 
 
+
+def _least_squares() -> str:
+    """Slopes of all scaled regressors: elimination on the matrix of mean products, one column per step."""
+    rows = ", ".join("[" + ", ".join(f"avg({a} * {b})" for b in (*Z, "z_y")) + "]" for a in Z)
+    k = len(Z)
+    return f""",
+    products AS (SELECT series_id, [{rows}] AS m FROM scaled WHERE split = 'train' GROUP BY series_id),
+    elimination AS (
+      SELECT series_id, m, 0 AS k FROM products
+      UNION ALL
+      SELECT series_id, list_transform(range(1, {k + 1}), lambda i:
+               CASE WHEN i = k + 1 THEN list_transform(m[i], lambda v: v / m[k + 1][k + 1])
+                    ELSE list_transform(range(1, {k + 2}), lambda c: m[i][c] - m[i][k + 1] * m[k + 1][c] / m[k + 1][k + 1])
+               END), k + 1
+      FROM elimination WHERE k < {k}),
+    slopes10 AS (SELECT series_id, list_transform(m, lambda line: line[{k + 1}]) AS b FROM elimination WHERE k = {k})"""
+
+
+_TERMS = " + ".join(f"b[{i + 1}] * {c}" for i, c in enumerate(Z))
+
+FUTURE = f""",
+    future_arr AS (
+      SELECT series_id, list(CAST(y AS DOUBLE) ORDER BY ds) AS ys, max(ds) AS last, min(year) AS lo, max(year) AS hi,
+             count(*) AS n FROM features GROUP BY series_id),
+    future_steps AS (SELECT *, CAST(unnest(range(1, 13)) AS INTEGER) AS step FROM future_arr),
+    future_dates AS (SELECT *, CAST(last + to_months(step) AS DATE) AS ds FROM future_steps),
+    future AS (
+      SELECT *, CAST(year(ds) AS INTEGER) AS year, CAST(month(ds) AS INTEGER) AS month, {_flags("month(ds)", "0")},
+             CAST(year(ds) - lo AS DOUBLE) / greatest(greatest(hi, year(ds)) - lo, 1) AS year_norm,
+             {", ".join(f"CASE WHEN n + step - {k} < 1 THEN 0 ELSE ys[least(n, n + step - {k})] END AS lag_{k}" for k in LAGS)}
+      FROM future_dates)"""
+
+
 def _smoothing(source: str) -> str:
     a, b, g = SMOOTHING
     level = f"({a} * (ys[t + 1] - s[1]) + {1 - a} * (l + b))"
@@ -224,6 +260,9 @@ ORACLES: dict[str, str] = {
     "monthly_panel": f"{PANEL} {_PANEL_ROWS}",
     "segment_panel": f"{SEGMENTS} {_PANEL_ROWS}",
     "shipment_panel": f"{SHIPMENTS} SELECT series_id, {LABEL}, y, year, month FROM panel",
+    "short_series": f"""{CUSTOMERS}
+      SELECT series_id, count(*) AS n_months FROM panel GROUP BY series_id
+      HAVING count(*) <= {max(LAGS) + CONFIG.test_months}""",
     "history_records": f"""{HISTORY}
       SELECT series_id, strftime(ds, '%Y-%m') AS date, year, month, month_name, season, CAST(y AS BIGINT) AS arrivals
       FROM filtered""",
@@ -270,18 +309,28 @@ ORACLES: dict[str, str] = {
       FROM listed""",
     "ols_predict2": f"""{OLS2}
       SELECT series_id, {LABEL}, step, {r('b0 + b1 * lag_1 + b2 * lag_12')} AS yhat FROM test JOIN ols USING (series_id)""",
-    "future_features": f"""{FEATURES},
-      arr AS (
-        SELECT series_id, list(CAST(y AS DOUBLE) ORDER BY ds) AS ys, max(ds) AS last, min(year) AS lo, max(year) AS hi,
-               count(*) AS n FROM features GROUP BY series_id),
-      stepped AS (SELECT *, CAST(unnest(range(1, 13)) AS INTEGER) AS step FROM arr),
-      dated AS (SELECT *, CAST(last + to_months(step) AS DATE) AS ds FROM stepped),
-      future AS (
-        SELECT *, CAST(year(ds) AS INTEGER) AS year, CAST(month(ds) AS INTEGER) AS month, {_flags("month(ds)", "0")},
-               CAST(year(ds) - lo AS DOUBLE) / greatest(greatest(hi, year(ds)) - lo, 1) AS year_norm,
-               {", ".join(f"CASE WHEN n + step - {k} < 1 THEN 0 ELSE ys[least(n, n + step - {k})] END AS lag_{k}" for k in LAGS)}
-        FROM dated)
+    "future_features": f"""{FEATURES}{FUTURE}
       SELECT series_id, step, {LABEL}, year, month, {_feature_columns()} FROM future""",
+    "ols_fit": f"""{SCALED}{_least_squares()},
+      listed AS (SELECT series_id, unnest(range(1, 11)) AS p, b, {list(FEATURE_COLS)} AS names FROM slopes10)
+      SELECT series_id, CAST(p AS INTEGER) AS position, names[p] AS feature, {r('b[p]')} AS coefficient,
+             CASE WHEN b[p] >= 0 THEN '+' ELSE '-' END AS sign
+      FROM listed""",
+    "ols_backtest": f"""{SCALED}{_least_squares()},
+      fitted AS (
+        SELECT series_id, y, ({_TERMS}) * std_y + mean_y AS yhat FROM scaled JOIN slopes10 USING (series_id)
+        WHERE split = 'test')
+      SELECT series_id, '{LINEAR}' AS model, {r('avg(abs(y - yhat))', 2)} AS mae,
+             {r('sqrt(avg((y - yhat) * (y - yhat)))', 2)} AS rmse,
+             {r('avg(abs((y - yhat) / y)) FILTER (WHERE y <> 0) * 100', 2)} AS mape
+      FROM fitted GROUP BY series_id""",
+    "ols_forecast": f"""{SCALED}{_least_squares()}{FUTURE},
+      scaled_future AS (
+        SELECT f.series_id, step, ds, std_y, mean_y,
+               {", ".join(f"(f.{c} - mean_{c}) / std_{c} AS z_{c}" for c in FEATURE_COLS)}
+        FROM future f JOIN wide USING (series_id))
+      SELECT series_id, step, {LABEL}, {_COUNT.format(v=f"({_TERMS}) * std_y + mean_y")} AS yhat
+      FROM scaled_future JOIN slopes10 USING (series_id)""",
     "forecast_post": f"""{FEATURES}
       SELECT series_id, {LABEL}, {_COUNT.format(v='(y - lag_12) / 2')} AS "count" FROM features""",
     "hw_forecast_fixed": f"""{SPLIT}{_smoothing("train")}
@@ -297,6 +346,12 @@ ORACLES: dict[str, str] = {
     "mlp_gradient": f"{GRADIENT} SELECT CAST(pos AS INTEGER) AS pos, {r('gradient')} AS gradient FROM terms",
     "forecast_union": f"{FORECASTS} SELECT series_id, model, {LABEL}, step, {r('yhat')} AS yhat FROM forecasts",
     "forecast_metrics": f"{FORECASTS} SELECT series_id, model, mae, rmse, mape FROM metrics",
+    "unpaired_months": f"""{SPLIT},
+      shown AS (SELECT series_id, ds FROM test WHERE step <= 9), kept AS (SELECT series_id, ds FROM test WHERE year = 2001)
+      SELECT series_id, {LABEL}, '{NAIVE}' AS model, 'forecast' AS has_only
+      FROM shown ANTI JOIN kept USING (series_id, ds)
+      UNION ALL
+      SELECT series_id, {LABEL}, NULL, 'actual' FROM kept ANTI JOIN shown USING (series_id, ds)""",
     "seasonal_naive_metrics": f"""{FORECASTS}
       SELECT series_id, model, mae, rmse, mape FROM metrics WHERE model = '{NAIVE}'""",
     "leaderboard": f"""{FORECASTS}

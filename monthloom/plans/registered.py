@@ -17,11 +17,13 @@ from monthloom.config import EXOG_COLS, FEATURE_COLS, HOLT_WINTERS, LINEAR, Pane
 from monthloom.functions.calendar import date_label
 from monthloom.functions.layout import in_order
 from monthloom.functions.numeric import whole_count
-from monthloom.operators.features import add_features, future_features, seasonal_difference, series_arrays, split_by_time
+from monthloom.operators.features import (
+    add_features, future_features, seasonal_difference, series_arrays, split_by_time, too_short,
+)
 from monthloom.operators.history import History, history, history_summary
 from monthloom.operators.holtwinters import fit_holtwinters, smooth, smoothed_forecast
 from monthloom.operators.linear import coefficient_report, fit_linear, predict_linear
-from monthloom.operators.metrics import as_counts, forecast_summary, leaderboard, score, union_forecasts
+from monthloom.operators.metrics import as_counts, forecast_summary, leaderboard, score, union_forecasts, unpaired
 from monthloom.operators.mlp import Z_COLS, Network, full_gradient, network_expression, predict_network, train_network
 from monthloom.operators.rollup import monthly_panel
 from monthloom.operators.sarima import error_path, fit_sarima
@@ -29,7 +31,7 @@ from monthloom.operators.scaling import apply_scaler, fit_scaler, standardise, u
 from monthloom.plans.forecasting import forecast_all
 from monthloom.plans.training import evaluate_models, prepare, spread
 from monthloom.session import written_by_series
-from monthloom.sources.panels import order_panel, shipment_panel
+from monthloom.sources.panels import order_panel, read_table, shipment_panel
 
 # The years that stand in for an anomaly in these tables, and the filters of the history queries.
 CONFIG = PanelConfig(anomaly_years=(1998, 1999), mlp_epochs=200, mlp_local_epochs=50)
@@ -125,6 +127,12 @@ def q_shipment_panel(spark: SparkSession, folder: str) -> DataFrame:
     return _labelled(shipment_panel(spark, folder))
 
 
+def q_short_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with too few months for a forecast: one series per customer."""
+    panel = monthly_panel(read_table(spark, folder, "orders"), "o_orderdate", ["o_custkey"])
+    return too_short(panel, CONFIG)
+
+
 def q_history_records(spark: SparkSession, folder: str) -> DataFrame:
     return _history(spark, folder).records
 
@@ -197,9 +205,29 @@ def q_ols_predict2(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_ols_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten scaled regressors."""
+    """Slopes of ten scaled regressors; the intercept of scaled rows is zero but for rounding."""
     fitted = fit_linear(_scaled(spark, folder).where("split = 'train'"), Z_COLS, "z_y")
-    return rounded(coefficient_report(fitted, Z_COLS))
+    return rounded(coefficient_report(fitted, Z_COLS).where("position > 0"))
+
+
+def q_ols_backtest(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy of the ten-regressor fit on the held-out months."""
+    scaled = _scaled(spark, folder)
+    test = scaled.where("split = 'test'")
+    fitted = predict_linear(test, fit_linear(scaled.where("split = 'train'"), Z_COLS, "z_y"), Z_COLS, out="z_yhat")
+    forecasts = fitted.select("series_id", F.lit(LINEAR).alias("model"), "ds", unscale(F.col("z_yhat")).alias("yhat"))
+    return score(test, forecasts)
+
+
+def q_ols_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts for the next twelve months by the ten-regressor fit and the scaler of its training rows."""
+    split = _split(spark, folder)
+    scaler = fit_scaler(split.where("split = 'train'"))
+    params = fit_linear(standardise(split).where("split = 'train'"), Z_COLS, "z_y")
+    future = future_features(_features(spark, folder), 12, CONFIG)
+    fitted = predict_linear(apply_scaler(future, scaler, keep_target=True), params, Z_COLS, out="z_yhat")
+    counts = fitted.withColumn("yhat", whole_count(unscale(F.col("z_yhat"))))
+    return _labelled(counts.select("series_id", "step", "ds", "yhat"))
 
 
 def q_future_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,6 +257,14 @@ def q_hw_fit(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(fitted.select("series_id", "status", *[F.col("params")[n].alias(n) for n in names]), 4)
 
 
+def q_hw_fit_shipments(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantities shipped, one series per supplier."""
+    train = split_by_time(add_features(shipment_panel(spark, folder), CONFIG), CONFIG).where("split = 'train'")
+    fitted = fit_holtwinters(series_arrays(spread(train), "y"), CONFIG)
+    names = ("alpha", "beta", "gamma", "sse")
+    return rounded(fitted.select("series_id", "status", *[F.col("params")[n].alias(n) for n in names]), 4)
+
+
 def q_sarma_filter_fixed(spark: SparkSession, folder: str) -> DataFrame:
     differenced = seasonal_difference(order_panel(spark, folder)).where("dy IS NOT NULL")
     path = error_path(series_arrays(differenced, "dy"), *ARMA, values="dy")
@@ -242,6 +278,14 @@ def q_sarima_fit(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(fitted.select("series_id", "status", *[F.col("params")[n].alias(n) for n in names]), 4)
 
 
+def q_sarima_fit_shipments(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantities shipped, one series per supplier."""
+    train = split_by_time(add_features(shipment_panel(spark, folder), CONFIG), CONFIG).where("split = 'train'")
+    fitted = fit_sarima(series_arrays(spread(train), "y", *EXOG_COLS), cfg=CONFIG)
+    names = ("ar", "seasonal_ar", "ma", "seasonal_ma", "sse")
+    return rounded(fitted.select("series_id", "status", *[F.col("params")[n].alias(n) for n in names]), 4)
+
+
 def q_mlp_forward(spark: SparkSession, folder: str) -> DataFrame:
     """Network output by Spark expressions."""
     network = formula_network((len(Z_COLS), 64, 32, 1))
@@ -282,6 +326,12 @@ def q_forecast_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return score(*_forecasts(spark, folder))
 
 
+def q_unpaired_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Months of 2001 without one of the first nine forecasts, and such forecasts before 2001."""
+    test = _test(spark, folder)
+    return _labelled(unpaired(test.where("year = 2001"), _naive(test).where("step <= 9")))
+
+
 def q_seasonal_naive_metrics(spark: SparkSession, folder: str) -> DataFrame:
     test = _test(spark, folder)
     return score(test, _naive(test))
