@@ -29,7 +29,7 @@ from monthloom.operators.rollup import monthly_panel
 from monthloom.operators.sarima import error_path, fit_sarima
 from monthloom.operators.scaling import apply_scaler, fit_scaler, standardise, unscale
 from monthloom.plans.forecasting import forecast_all
-from monthloom.plans.training import evaluate_models, prepare, spread
+from monthloom.plans.training import evaluate_models, prepare
 from monthloom.session import written_by_series
 from monthloom.sources.panels import order_panel, read_table, shipment_panel
 
@@ -81,6 +81,12 @@ def _train(spark: SparkSession, folder: str) -> DataFrame:
     return _split(spark, folder).where("split = 'train'")
 
 
+def _train_by_series(panel: DataFrame) -> DataFrame:
+    """Training rows as a table by series, which keeps the fits that follow spread over all tasks."""
+    train = split_by_time(add_features(panel, CONFIG), CONFIG).where("split = 'train'")
+    return written_by_series(train.select("series_id", "ds", "y", *EXOG_COLS))
+
+
 def _test(spark: SparkSession, folder: str) -> DataFrame:
     return _split(spark, folder).where("split = 'test'")
 
@@ -252,15 +258,14 @@ def q_hw_state_fixed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_hw_fit(spark: SparkSession, folder: str) -> DataFrame:
-    fitted = fit_holtwinters(series_arrays(spread(_train(spark, folder)), "y"), CONFIG)
+    fitted = fit_holtwinters(series_arrays(_train_by_series(order_panel(spark, folder)), "y"), CONFIG)
     names = ("alpha", "beta", "gamma", "sse")
     return rounded(fitted.select("series_id", "status", *[F.col("params")[n].alias(n) for n in names]), 4)
 
 
 def q_hw_fit_shipments(spark: SparkSession, folder: str) -> DataFrame:
     """Quantities shipped, one series per supplier."""
-    train = split_by_time(add_features(shipment_panel(spark, folder), CONFIG), CONFIG).where("split = 'train'")
-    fitted = fit_holtwinters(series_arrays(spread(train), "y"), CONFIG)
+    fitted = fit_holtwinters(series_arrays(_train_by_series(shipment_panel(spark, folder)), "y"), CONFIG)
     names = ("alpha", "beta", "gamma", "sse")
     return rounded(fitted.select("series_id", "status", *[F.col("params")[n].alias(n) for n in names]), 4)
 
@@ -273,15 +278,15 @@ def q_sarma_filter_fixed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_sarima_fit(spark: SparkSession, folder: str) -> DataFrame:
-    fitted = fit_sarima(series_arrays(spread(_train(spark, folder)), "y", *EXOG_COLS), cfg=CONFIG)
+    fitted = fit_sarima(series_arrays(_train_by_series(order_panel(spark, folder)), "y", *EXOG_COLS), cfg=CONFIG)
     names = ("ar", "seasonal_ar", "ma", "seasonal_ma", "sse", "is_covid")
     return rounded(fitted.select("series_id", "status", *[F.col("params")[n].alias(n) for n in names]), 4)
 
 
 def q_sarima_fit_shipments(spark: SparkSession, folder: str) -> DataFrame:
     """Quantities shipped, one series per supplier."""
-    train = split_by_time(add_features(shipment_panel(spark, folder), CONFIG), CONFIG).where("split = 'train'")
-    fitted = fit_sarima(series_arrays(spread(train), "y", *EXOG_COLS), cfg=CONFIG)
+    arrays = series_arrays(_train_by_series(shipment_panel(spark, folder)), "y", *EXOG_COLS)
+    fitted = fit_sarima(arrays, cfg=CONFIG)
     names = ("ar", "seasonal_ar", "ma", "seasonal_ma", "sse")
     return rounded(fitted.select("series_id", "status", *[F.col("params")[n].alias(n) for n in names]), 4)
 

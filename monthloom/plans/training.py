@@ -16,7 +16,7 @@ from monthloom.operators.metrics import score, union_forecasts
 from monthloom.operators.mlp import Z_COLS, Network, Training, predict_network, train_network
 from monthloom.operators.sarima import fit_sarima, predict_sarima
 from monthloom.operators.scaling import fit_scaler, standardise, unscale
-from monthloom.session import shuffle_partitions, written_by_series
+from monthloom.session import written_by_series
 
 
 @dataclass(frozen=True)
@@ -42,22 +42,17 @@ def prepare(panel: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFrame:
 
 
 def fit_per_series(prepared: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFrame:
-    """The model table of the three per-series models: one row per series and model, with a status."""
+    """The model table of the three per-series models: one row per series and model, with a status.
+
+    Pass rows written by series. Fitting costs much time per byte, and adaptive planning, which sizes tasks by bytes,
+    would put all of it into a few; it leaves the buckets of a table alone.
+    """
     train = prepared.where("split = 'train'")
-    arrays = series_arrays(spread(train), "y", *EXOG_COLS)
+    arrays = series_arrays(train, "y", *EXOG_COLS)
     linear = fit_linear(train, Z_COLS, "z_y")
     return linear.unionByName(fit_holtwinters(arrays, cfg)).unionByName(fit_sarima(arrays, cfg=cfg))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Lay rows out by series over a fixed number of tasks.
-
-    Fitting costs much time per byte. Adaptive planning sizes tasks by bytes and would put all of it into a few,
-    but leaves an explicit number of partitions alone. Rows written by series lie this way already.
-    """
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "series_id")
-
-
 def backtest_forecasts(prepared: DataFrame, params: DataFrame, network: Network | None, cfg: PanelConfig) -> DataFrame:
     """Each model's forecasts of the held-out months as one long table."""
     test = prepared.where("split = 'test'")

@@ -41,8 +41,7 @@ def written_by_series(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder in buckets of whole series and go on from the written table.
 
     What was computed outlives the executors that computed it, readers take only the columns and rows they need,
-    and steps by series need no further shuffle. Buckets also fix the number of tasks, which keeps fitting spread
-    out: it costs much time per byte, and adaptive planning would size its tasks by bytes.
+    and steps by series need no further shuffle. Buckets also fix the number of tasks of such steps.
     """
     spark = df.sparkSession
     name = f"monthloom_{uuid.uuid4().hex}"
