@@ -44,6 +44,11 @@ def fit_linear(train: DataFrame, regressors: Sequence[str], target: str, model:
     )
 
 
+def fit_linear_pooled(train: DataFrame, regressors: Sequence[str], target: str, series_id: str = "pooled") -> DataFrame:
+    """One fit over the rows of all series, as a model table of one row. Tasks send sums, not rows."""
+    return fit_linear(train.withColumn("series_id", F.lit(series_id)), regressors, target)
+
+
 def predict_linear(rows: DataFrame, params: DataFrame, columns: Sequence[str], out: str = "yhat") -> DataFrame:
     """Add the fitted value of each row; coefficients are joined by series."""
     fitted = params.where("status = 'ok'").select("series_id", "params")

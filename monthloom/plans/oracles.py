@@ -316,6 +316,15 @@ ORACLES: dict[str, str] = {
       SELECT series_id, CAST(p AS INTEGER) AS position, names[p] AS feature, {r('b[p]')} AS coefficient,
              CASE WHEN b[p] >= 0 THEN '+' ELSE '-' END AS sign
       FROM listed""",
+    "ols_pooled": f"""{SCALED},
+      cov AS (
+        SELECT var_pop(z_lag_1) AS v1, var_pop(z_lag_12) AS v2, covar_pop(z_lag_1, z_lag_12) AS v12,
+               covar_pop(z_y, z_lag_1) AS y1, covar_pop(z_y, z_lag_12) AS y2 FROM scaled WHERE split = 'train'),
+      listed AS (
+        SELECT 1 AS position, 'lag_1' AS feature, (v2 * y1 - v12 * y2) / (v1 * v2 - v12 * v12) AS c FROM cov
+        UNION ALL SELECT 2, 'lag_12', (v1 * y2 - v12 * y1) / (v1 * v2 - v12 * v12) FROM cov)
+      SELECT 'pooled' AS series_id, position, feature, {r('c')} AS coefficient, CASE WHEN c >= 0 THEN '+' ELSE '-' END AS sign
+      FROM listed""",
     "ols_backtest": f"""{SCALED}{_least_squares()},
       fitted AS (
         SELECT series_id, y, ({_TERMS}) * std_y + mean_y AS yhat FROM scaled JOIN slopes10 USING (series_id)

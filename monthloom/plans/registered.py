@@ -22,7 +22,7 @@ from monthloom.operators.features import (
 )
 from monthloom.operators.history import History, history, history_summary
 from monthloom.operators.holtwinters import fit_holtwinters, smooth, smoothed_forecast
-from monthloom.operators.linear import coefficient_report, fit_linear, predict_linear
+from monthloom.operators.linear import coefficient_report, fit_linear, fit_linear_pooled, predict_linear
 from monthloom.operators.metrics import as_counts, forecast_summary, leaderboard, score, union_forecasts, unpaired
 from monthloom.operators.mlp import Z_COLS, Network, full_gradient, network_expression, predict_network, train_network
 from monthloom.operators.rollup import monthly_panel
@@ -216,6 +216,13 @@ def q_ols_fit(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(coefficient_report(fitted, Z_COLS).where("position > 0"))
 
 
+def q_ols_pooled(spark: SparkSession, folder: str) -> DataFrame:
+    """One fit over the scaled rows of all nations."""
+    regressors = [f"z_{c}" for c in OLS2]
+    fitted = fit_linear_pooled(_scaled(spark, folder).where("split = 'train'"), regressors, "z_y")
+    return rounded(coefficient_report(fitted, regressors).where("position > 0"))
+
+
 def q_ols_backtest(spark: SparkSession, folder: str) -> DataFrame:
     """Accuracy of the ten-regressor fit on the held-out months."""
     scaled = _scaled(spark, folder)

@@ -12,9 +12,14 @@ from monthloom.plans.training import Evaluation, FittedModels
 _METRICS = "map<string,struct<MAE:double,RMSE:double,MAPE:double>>"
 
 
-def save_panel(panel: DataFrame, table: str, buckets: int) -> None:
-    """A panel as a table whose buckets hold whole series in order, so that later steps shuffle nothing."""
-    panel.write.mode("overwrite").bucketBy(buckets, "series_id").sortBy("series_id", "ds").saveAsTable(table)
+def save_panel(panel: DataFrame, table: str, buckets: int, by_year: bool = False) -> None:
+    """A panel as a table whose buckets hold whole series in order, so that later steps shuffle nothing.
+
+    ``by_year`` adds a folder per year, so that queries for some years read those only.
+    """
+    rows = panel.repartition(buckets, "series_id").write.mode("overwrite")
+    rows = rows.partitionBy("year") if by_year else rows
+    rows.bucketBy(buckets, "series_id").sortBy("series_id", "ds").saveAsTable(table)
 
 
 def save_models(models: FittedModels, folder: str) -> None:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from monthloom.config import EXOG_COLS, FEATURE_COLS, HOLT_WINTERS, LINEAR, MLP, SARIMA, PanelConfig
 from monthloom.operators.features import add_features, series_arrays, split_by_time
+from monthloom.operators.history import history
 from monthloom.operators.holtwinters import fit_holtwinters, predict_holtwinters, smooth
-from monthloom.operators.linear import coefficient_report, fit_linear, predict_linear
+from monthloom.operators.linear import coefficient_report, fit_linear, fit_linear_pooled, predict_linear
 from monthloom.operators.mlp import (
     Z_COLS, Network, forward, full_gradient, gradient, network_expression, predict_network, train_network,
 )
@@ -334,9 +335,22 @@ def test_a_saved_panel_needs_no_shuffle(spark, panel, tmp_path):
     features = standardise(split_by_time(add_features(spark.table("saved.panel"), QUICK)))
     assert "Exchange" not in features._jdf.queryExecution().executedPlan().toString()
     assert features.count() == prepare(panel, QUICK).count()
+    save_panel(panel, "saved.by_year", buckets=4, by_year=True)
+    some = history(spark.table("saved.by_year"), 2001, 2002, ordered=False)
+    plan = some.records._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "Exchange" not in plan
+    assert some.records.count() == history(panel, 2001, 2002).records.count() > 0
     spark.sql("DROP DATABASE saved CASCADE")
 
 
+def test_a_pooled_fit_is_one_fit_over_all_rows(scaled):
+    train = scaled.where("split = 'train'")
+    got = coefficient_report(fit_linear_pooled(train, Z_COLS, "z_y"), Z_COLS).orderBy("position").toPandas()["coefficient"]
+    rows = train.select(*Z_COLS, "z_y").toPandas().to_numpy(float)
+    want = np.linalg.lstsq(np.c_[np.ones(len(rows)), rows[:, :-1]], rows[:, -1], rcond=None)[0]
+    assert np.allclose(got, want, atol=1e-7)
+
+
 def test_models_without_a_network_can_be_kept(spark, result, tmp_path):
     save_models(FittedModels(result.models.scaler, result.models.params, None), str(tmp_path))
     assert load_models(spark, str(tmp_path), with_network=False).network is None
