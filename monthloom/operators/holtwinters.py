@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,18 +113,17 @@ def _fit(ys: pd.Series) -> pd.DataFrame:
     out = [(None, None, None, None, None)] * len(ys)
     lengths = ys.map(len, na_action="ignore").fillna(0).astype(int).to_numpy()
     for length in np.unique(lengths[lengths >= 2 * PERIOD]):
-        same = np.flatnonzero(lengths == length)
+        same, grid = np.flatnonzero(lengths == length), _grid_for(length)
         for at in range(0, len(same), _CHUNK):
             chosen = same[at : at + _CHUNK]
-            weights, sse, state = _fit_block(np.stack(ys.iloc[chosen]).astype(float))
+            weights, sse, state = _fit_block(np.stack(ys.iloc[chosen]).astype(float), *grid)
             for i, w, error, s in zip(chosen, weights, sse, state):
                 if np.isfinite(error):
                     out[i] = (*w, error, s.tolist())
     return pd.DataFrame(out, columns=["alpha", "beta", "gamma", "sse", "state"])
 
 
-def _fit_block(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    grid, bases = _grid_for(y.shape[1])
+def _fit_block(y: np.ndarray, grid: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # Errors from a zero start for every grid point and series, less what a start state can explain.
     errors = _errors(y.T[:, None, :], grid[:, None, :], np.zeros((PERIOD + 2, 1, 1)))[0]
     errors = errors.transpose(1, 0, 2)
@@ -194,7 +191,6 @@ def _feasible(weights: np.ndarray) -> np.ndarray:
     return inside
 
 
-@lru_cache(maxsize=16)
 def _grid_for(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Grid points, and for each an orthonormal basis of the errors that start states can produce."""
     levels = (_LOWEST, 0.1, 0.25, 0.4, 0.55, 0.7, 0.85)
