@@ -29,11 +29,12 @@ def fit_linear(train: DataFrame, regressors: Sequence[str], target: str, model:
         F.avg(target).alias("y_mean"),
         F.expr(_array(squares)).alias("xx"),
         F.expr(_array(f"sum(`{c}` * `{target}`)" for c in regressors)).alias("xy"),
+        F.expr(f"count_if({' OR '.join(f'`{c}` IS NULL' for c in (*regressors, target))})").alias("n_missing"),
         F.max("ds").alias("train_end"),
     )
     names = F.array(*[F.lit(n) for n in (INTERCEPT, *map(_plain, regressors))])
     solved = sums.withColumn("coefficients", _solve("n", "x_mean", "y_mean", "xx", "xy"))
-    usable = F.col("coefficients").isNotNull()
+    usable = F.col("coefficients").isNotNull() & (F.col("n_missing") == 0)
     return solved.select(
         "series_id",
         F.lit(model).alias("model"),

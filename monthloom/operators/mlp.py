@@ -161,7 +161,8 @@ def train_network(scaled: DataFrame, cfg: PanelConfig = PanelConfig(), tasks: in
     spark = scaled.sparkSession
     if tasks is None:
         tasks = max(1, math.ceil(scaled.count() / cfg.mlp_rows_per_task))
-    wanted = scaled.select("series_id", "ds", "split", *Z_COLS, "z_y")
+    # A month without a value has nothing to learn from.
+    wanted = scaled.select("series_id", "ds", "split", *Z_COLS, "z_y").dropna(subset=[*Z_COLS, "z_y"])
     laid_out = checkpointed(wanted.repartition(tasks, "series_id").sortWithinPartitions("series_id", "ds"))
     network = Network.seeded((len(Z_COLS), *cfg.mlp_hidden, 1), cfg.seed, cfg.mlp_learning_rate)
     losses, done = [], 0

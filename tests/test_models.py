@@ -73,6 +73,9 @@ def test_linear_equals_least_squares_and_residuals_are_orthogonal(scaled):
 def test_linear_reports_missing_values(spark):
     frame = spark.createDataFrame([("s", month(i), None, 1.0) for i in range(5)], "series_id string, ds date, x double, y double")
     assert fit_linear(frame, ("x",), "y").first().status == "missing_values"
+    rows = [("s", month(i), float(i), None if i == 3 else 1.0) for i in range(5)]
+    frame = spark.createDataFrame(rows, "series_id string, ds date, x double, y double")
+    assert fit_linear(frame, ("x",), "y").first().status == "missing_values"
 
 
 # Holt-Winters
