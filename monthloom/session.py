@@ -48,7 +48,7 @@ def written_by_series(df: DataFrame) -> DataFrame:
     buckets = shuffle_partitions(spark)
     order = [c for c in ("series_id", "ds") if c in df.columns]
     writer = df.repartition(buckets, "series_id").write.bucketBy(buckets, "series_id").sortBy(*order)
-    writer.option("path", f"{_checkpoint_folder(spark)}/{name}").saveAsTable(name)
+    writer.option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name)
     written = spark.table(name)
     # Only the name is taken out of the catalog; the files belong to the folder.
     spark.sql(f"DROP TABLE {name}")
@@ -57,11 +57,11 @@ def written_by_series(df: DataFrame) -> DataFrame:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` in the checkpoint folder with its partitions and their order as they are."""
-    _checkpoint_folder(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only on a local master without."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
