@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from monthloom.llm.decontaminate import contamination
+from monthloom.llm.licenses import scan_licenses, templates
 from monthloom.llm.packing import pack
+from monthloom.llm.quality import ByteConvNet, fit, score
 from monthloom.llm.secretscan import LEDGER, RULES, findings_by_path, scan, span_text
+from monthloom.llm.suffixes import repeated_spans
 from monthloom.llm.tokenfiles import token_files
 from monthloom.llm.topk import top_k, whole_components
 from monthloom.llm.urls import HostRule, filter_urls
@@ -47,6 +51,36 @@ def q_topk(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(rows.where("vec_id % 100 = 0"), rows, k=10)
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are never learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def quality_net(spark: SparkSession, docs: DataFrame, folder: str) -> ByteConvNet:
+    return fit(docs, table(spark, folder, "labels").where(~held_out(F.col("doc_id"))))
+
+
+def q_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = score(docs, quality_net(spark, docs, folder))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def q_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_spans(table(spark, folder, "documents"), least=400)
+
+
+def q_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"), templates(spark))
+
+
+def q_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "overlap")
+
+
 def q_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"), TOKENIZER, end_id=2).withColumnRenamed("key", "doc_id")
 
@@ -67,6 +101,10 @@ QUERIES: dict[str, Query] = {
     "op1_url_filter": q_urls,
     "op2_concatenate_and_cut": q_packing,
     "op3_maxscore": q_topk,
+    "op4_quality_network": q_quality,
+    "op6_difference_cover_repeats": q_repeats,
+    "op5_license_scan": q_licenses,
+    "op8_spaced_seed_decontamination": q_decontamination,
     "op9_token_files": q_token_files,
     "op10_secret_ledger": q_secrets,
 }
