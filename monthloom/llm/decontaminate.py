@@ -41,11 +41,11 @@ def _advanced(state: Column, by: Column) -> Column:
     return F.struct(state["same"].alias("same"), now.alias("now"), F.greatest(state["best"], now).alias("best"))
 
 
-def contamination(
+def held_items(
     docs: DataFrame, benchmark: DataFrame, window: int = 20, least: float = 0.8, masks: tuple[tuple[int, ...], ...] = MASKS,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """Which benchmark items each document holds: (doc_id, items, overlap).
+    """Which benchmark items the texts hold: (blob, items, overlap) for each distinct text that holds any.
 
     An item is held if ``window`` of its words in a row (all, if it has fewer) stand in the document with at most a
     share of 1 - ``least`` substituted. Hashes of both sides' words under each mask are joined; around a hit, the item
@@ -53,10 +53,9 @@ def contamination(
     results is shuffled; hits of equal texts meet in the map tasks. The benchmark side is broadcast up to a fixed number
     of rows, counted first, and joined by shuffles beyond it.
 
-    One row per row of ``docs``; ``items`` is sorted, and empty where nothing is held, as for null and empty texts.
-    ``overlap`` is the largest share, null if none. Items whose text is null or has fewer words than the shortest mask
-    spans are not looked for. Repeated items are reported each, repeated documents too; null ids are kept. Either table
-    may be empty.
+    ``items`` is sorted; ``overlap`` is the largest share. Items whose text is null or has fewer words than the shortest
+    mask spans are not looked for; items of fewer than ``window`` words are found if a mask agrees. Repeated items are
+    reported each. Either table may be empty.
     """
     item_words = F.filter(word_hashes(F.col(item_text_col)), lambda w: w != F.xxhash64(F.lit("")))
     items = benchmark.select(F.col(item_col).alias("item_id"), item_words.alias("item")).where(F.size("item") > 0)
@@ -74,7 +73,22 @@ def contamination(
     shares = laid.select("blob", "item_id", overlap(F.col("laid"), F.col("item"), window).alias("share"))
     shares = shares.where(F.col("share") >= least)
     best = shares.groupBy("blob", "item_id").agg(F.max("share").alias("share"))
-    held = best.groupBy("blob").agg(F.sort_array(F.collect_list("item_id")).alias("items"), F.max("share").alias("overlap"))
+    return best.groupBy("blob").agg(F.sort_array(F.collect_list("item_id")).alias("items"), F.max("share").alias("overlap"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **options) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, items, overlap) as ``held_items`` finds them.
+
+    ``items`` is empty and ``overlap`` null where nothing is held, as for null and empty texts. Repeated documents have
+    the same result each; null ids are kept.
+    """
+    held = held_items(docs, benchmark, text_col=text_col, item_col=item_col, **options)
     kind = benchmark.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), blob_of(F.col(text_col)).alias("blob")).join(held, "blob", "left")
     return rows.select("doc_id", F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items"), "overlap")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text holds no benchmark item."""
+    held = held_items(docs, benchmark, text_col=text_col, **options)
+    return docs.join(held, blob_of(docs[text_col]) == held["blob"], "left_anti")

@@ -6,12 +6,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.llm.tokens import in_slices
-
 WIDTH, HALF, FILTERS, HIDDEN = 6, 128, 24, 16
 
 
@@ -199,22 +198,25 @@ def fit(
     return net
 
 
-def score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The probability of label 1 of every whole text: (doc_id, score), and the columns ``keep`` of ``docs`` before it.
+def scores(net: ByteConvNet):
+    """A function from a text column to the probability of label 1.
 
     The text's UTF-8 bytes are the only input. All chunks of a text count, however long it is; null and empty texts
-    are scored as a chunk of zeros. Rows neither move nor meet. Repeated rows have the same score.
+    are scored as a chunk of zeros.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pairs = net.pair_tables()
-        for batch in in_slices(batches, 1 << 20):
-            texts = [t or b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            shares = 1 / (1 + np.exp(-np.clip(net.logits(texts, pairs).astype(np.float64), -60, 60)))
-            yield pa.record_batch([*batch.columns[:-1], pa.array(shares)], names)
-
-    kept = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    names = [*kept.columns[:-1], "score"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + ", score double"
-    scored = kept.mapInArrow(run, schema)
-    return scored.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), *([] if id_col in keep else ["doc_id"]), "score")
+        for texts in batches:
+            # Parts of about a megabyte, whatever the lengths.
+            part = (np.cumsum(texts.str.len().to_numpy()) >> 20).astype(np.int64)
+            logits = texts.groupby(part).transform(lambda t: net.logits(t.tolist(), pairs)).astype(float)
+            yield 1 / (1 + np.exp(-logits.clip(-60, 60)))
+
+    return lambda text: run(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of every row. Rows neither move nor meet; repeated rows have the same score."""
+    return docs.select(F.col(id_col).alias("doc_id"), scores(net)(F.col(text_col)).alias("score"))

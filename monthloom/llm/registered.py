@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthloom.llm.decontaminate import contamination
+from monthloom.llm.jaccard import similar_classes
 from monthloom.llm.licenses import scan_licenses, templates
 from monthloom.llm.packing import pack
 from monthloom.llm.quality import ByteConvNet, fit, score
@@ -39,13 +40,16 @@ def q_urls(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(table(spark, folder, "pages"), URL_RULES, BLOCKED_URLS)
 
 
-def q_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = pack(table(spark, folder, "documents"), TOKENIZER, window=1024, end_id=0)
+def packing_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
 
+def q_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_digest(pack(table(spark, folder, "documents"), TOKENIZER, window=1024, end_id=0))
+
+
 def q_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("vec_id", whole_components(F.col("embedding")).alias("vector"))
     return top_k(rows.where("vec_id % 100 = 0"), rows, k=10)
@@ -72,6 +76,10 @@ def q_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_spans(table(spark, folder, "documents"), least=400)
 
 
+def q_similar(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_classes(table(spark, folder, "documents"), k=4, percent=85).drop("key", "component")
+
+
 def q_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents"), templates(spark))
 
@@ -103,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op3_maxscore": q_topk,
     "op4_quality_network": q_quality,
     "op6_difference_cover_repeats": q_repeats,
+    "op7_multiple_order_jaccard": q_similar,
     "op5_license_scan": q_licenses,
     "op8_spaced_seed_decontamination": q_decontamination,
     "op9_token_files": q_token_files,

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from monthloom.llm.workspace import written
+
 FINDING = "array<struct<start:int,rank:int,kind:string,end:int,base:boolean>>"
 LEDGER = f"blob binary, rule_version string, findings {FINDING}"
 
@@ -131,3 +133,14 @@ def redacted(text: Column, findings: Column, mark: str = "[secret]") -> Column:
     zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     end = lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text)))
     return F.when(F.size(findings) == 0, text).otherwise(F.aggregate(findings, zero, step, end))
+
+
+def redacted_rows(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, and a mark in place of each secret of their text; null stays null."""
+    found = written(scan(docs, rules, text_col=text_col), "ledger").where(F.size("findings") > 0).select("blob", "findings")
+    # Names of our own beside the columns of docs, whatever those are called.
+    named = docs.select(F.struct(*docs.columns).alias("row"), blob_of(F.col(text_col)).alias("blob"))
+    joined = named.join(found, "blob", "left")
+    text = F.col("row")[text_col]
+    clean = F.when(F.col("findings").isNull(), text).otherwise(redacted(text, F.col("findings")))
+    return joined.select(*((clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
