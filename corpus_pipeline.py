@@ -3,10 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from monthloom.llm.decontaminate import decontaminated
+from monthloom.llm.jaccard import one_per_class
+from monthloom.llm.packing import pack
+from monthloom.llm.quality import scores
+from monthloom.llm.registered import TOKENIZER, packing_digest, quality_net, table
+from monthloom.llm.secretscan import redacted_rows
 from monthloom.llm.workspace import written
 
-STAGES = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality network gives a probability of one half or more."""
+    return docs.where(scores(quality_net(spark, docs, sf_dir))(F.col("text")) >= 0.5)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class linked by 0.8 of all five-word shingles."""
+    return one_per_class(docs, k=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret; ``n_chars`` follows the text."""
+    return redacted_rows(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 ids, as pieces of documents with their places and checksums."""
+    return packing_digest(pack(docs, TOKENIZER, window=1024, end_id=0))
+
+
+STAGES = [
+    ("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+    ("secrets", secrets), ("packing", packing),
+]
+# Neither the network nor the tokenizer can be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
