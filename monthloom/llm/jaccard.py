@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.llm.components import components
-from monthloom.llm.names import RollingHash, mixed, occurrences
+from monthloom.llm.names import Namer, RollingHash, mixed, occurrences
 from monthloom.llm.tokens import in_slices
 from monthloom.llm.workspace import written
 
@@ -52,17 +52,14 @@ def shingle_sets(texts: list[bytes], k: int, hasher: RollingHash) -> list[np.nda
     return out
 
 
-def _sets_of(texts: DataFrame, k: int, with_names: bool) -> DataFrame:
-    """(key, n, names) of (key, text) rows."""
+def _namer(k: int):
+    """Shingle hashes of (key, text) rows."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Namer:
         hasher = RollingHash()
-        for batch in in_slices(batches, 1 << 20):
-            sets = shingle_sets(batch.column(1).to_pylist(), k, hasher)
-            names = pa.array([s.tobytes() for s in sets] if with_names else [None] * len(sets), pa.binary())
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), names], ["key", "n", "names"])
+        return lambda batch: (batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k, hasher))
 
-    return texts.mapInArrow(run, SETS)
+    return start
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
@@ -147,7 +144,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
     texts = base.select("key", "text")
-    answers, _ = occurrences(_sets_of(texts, k, True).select("key", "names"), "repeated", width=6)
+    answers, _ = occurrences(texts, _namer(k), "repeated", width=6)
     shared = answers.groupBy("key").agg(F.collect_list("names").alias("parts"))
 
     def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

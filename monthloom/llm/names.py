@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from monthloom.llm.tokens import in_slices
 from monthloom.session import shuffle_partitions
 
 # Names that a map task holds before it deals them out.
-HELD = 3_000_000
+HELD = 1_000_000
 PACKED = "bucket int, answered boolean, keys binary, counts binary, names binary, common binary"
 ANSWERS = "key long, names binary"
 HASH_BASE = 0x9E3779B97F4A7C15
@@ -76,25 +77,28 @@ def _by_key(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[order][first], counts, names[order]
 
 
-def occurrences(rows: DataFrame, wanted: str, width: int = 8) -> tuple[DataFrame, int]:
+Namer = Callable[[pa.RecordBatch], tuple[list[int], list[np.ndarray]]]
+
+
+def occurrences(rows: DataFrame, namer: Callable[[], Namer], wanted: str, width: int = 8) -> tuple[DataFrame, int]:
     """Of each row's names, those that occur again ("repeated") or nowhere else ("single"), and the number of buckets.
 
-    ``rows`` is (key long, names binary): little-endian 64-bit names of the text that ``key`` stands for. A name occurs
-    again if another key has it, or the same row twice; rows of the same key are the same text and count once. Answers
-    are (key, names) with canonical names (see above), several rows per key.
+    In a task, ``namer()`` gives a function from a batch of ``rows`` to keys and, for each, an array of 64-bit names of
+    the text that the key stands for. A name occurs again if another key has it, or the same row twice; rows of the same
+    key are the same text and count once. Answers are (key, names), little-endian canonical names (see above), with
+    several rows per key and some names more than once.
 
     Map tasks settle what they can: a name that occurs twice in what a task holds is repeated, which is sent as one
-    mark, so a name that a third of all rows have reaches its bucket once per some million names. What is left is dealt
-    out as packed arrays, one row per bucket; names are cut to ``width`` bytes besides their bucket. The receiving task
-    sorts one bucket at a time, so its memory is that of a bucket, whose number is ``spark.sql.shuffle.partitions``.
+    mark, so a name that a third of all rows have reaches its bucket once per million names. What is left is dealt out
+    as packed arrays, one row per bucket; names are cut to ``width`` bytes besides their bucket. The receiving task sorts
+    one bucket at a time, so its memory is that of a bucket, whose number is ``spark.sql.shuffle.partitions``.
     """
     buckets = min(shuffle_partitions(rows.sparkSession), 1 << 15)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, names, held, turn = [], [], 0, 0
-        for batch in batches:
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.frombuffer(raw.as_buffer(), "<u8")
+        keys, names, held, turn, name = [], [], 0, 0, namer()
+        for batch in in_slices(batches):
+            for key, found in zip(*name(batch)):
                 keys.append(key)
                 names.append(found)
                 held += len(found)
@@ -156,18 +160,20 @@ def occurrences(rows: DataFrame, wanted: str, width: int = 8) -> tuple[DataFrame
             yield from solved(parts, bucket)
 
     def solved(parts: list[dict], bucket: int) -> Iterator[pa.RecordBatch]:
-        key = np.concatenate([np.repeat(np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in parts])
-        name = _unpack(b"".join(r["names"] for r in parts), width)
-        common = np.unique(_unpack(b"".join(r["common"] for r in parts), width))
-        order = np.lexsort((key, name))
-        name, key = name[order], key[order]
-        if len(name):
-            fresh = np.concatenate([[True], (name[1:] != name[:-1]) | (key[1:] != key[:-1])])
-            name, key = name[fresh], key[fresh]
-        _, length = _runs(name)
-        again = np.repeat(length > 1, length) | np.isin(name, common)
+        listed = np.concatenate([np.frombuffer(r["keys"], "<i8") for r in parts])
+        distinct, place = np.unique(listed, return_inverse=True)
+        owner = np.repeat(place.astype(np.int32), np.concatenate([np.frombuffer(r["counts"], "<u4") for r in parts]))
+        name = _unpack(b"".join([r["names"] for r in parts]), width)
+        common = np.unique(_unpack(b"".join([r["common"] for r in parts]), width))
+        order = np.argsort(name)
+        name, owner = name[order], owner[order]
+        first, length = _runs(name)
+        if not len(first):
+            return
+        again = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+        again = np.repeat(again | np.isin(name[first], common), length)
         chosen = again if wanted == "repeated" else ~again
-        key, name = key[chosen], name[chosen]
+        key, name = distinct[owner[chosen]], name[chosen]
         if width < 8:
             name = name | np.uint64(bucket << 48)
         if len(name):

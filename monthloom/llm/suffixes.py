@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.llm.names import RollingHash, canonical, occurrences
+from monthloom.llm.names import Namer, RollingHash, canonical, occurrences
 from monthloom.llm.tokens import in_slices
 from monthloom.llm.workspace import written
 
-NAMED = "key long, names binary"
 REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -120,19 +119,19 @@ def repeated_spans(docs: DataFrame, least: int = 400, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
 
-    def sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sampler() -> Namer:
         hasher = RollingHash()
-        for batch in in_slices(batches, 1 << 20):
+
+        def sample(batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray]]:
             texts = batch.column(1).to_pylist()
             sums, starts = _text_hashes(texts, hasher)
-            names = []
-            for t, start in zip(texts, starts.tolist()):
-                at = cover.places(len(t)) + start
-                names.append(hasher.runs(sums, at, at + cover.length).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(names, pa.binary())], ["key", "names"])
+            places = [cover.places(len(t)) + start for t, start in zip(texts, starts.tolist())]
+            return batch.column(0).to_pylist(), [hasher.runs(sums, at, at + cover.length) for at in places]
+
+        return sample
 
     long_ = base.where(F.octet_length("text") >= least)
-    ranks, buckets = occurrences(long_.select("key", "text").mapInArrow(sample, NAMED), "repeated", width=4)
+    ranks, buckets = occurrences(long_.select("key", "text"), sampler, "repeated", width=4)
     ranked = ranks.groupBy("key").agg(F.collect_list("names").alias("ranks"))
     copied = long_.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
     wanted = ranked.join(copied, "key", "full").select("key", "ranks", F.col("copies").isNotNull().alias("copied"))
@@ -156,27 +155,32 @@ def repeated_spans(docs: DataFrame, least: int = 400, id_col: str = "doc_id", te
         at = cover.candidates(len(text), at)
         return at, hasher.runs(sums, at, at + least)
 
-    def named(name, columns: tuple[str, ...]):
-        """One row per text in a run of copies: key and ``name`` of the columns."""
+    def named(name) -> Callable[[], Namer]:
+        """Names by key for rows of the key and what ``name`` takes; of copies in a row, the first is enough."""
 
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def start() -> Namer:
             hasher, last = RollingHash(), None
-            for batch in in_slices(batches, 1 << 20):
+
+            def run(batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray]]:
+                nonlocal last
                 keys, names = [], []
-                for key, *values in zip(*(batch.column(c).to_pylist() for c in ("key", *columns))):
+                for key, *values in zip(*(c.to_pylist() for c in batch.columns)):
                     if key != last:
                         keys.append(key)
-                        names.append(name(hasher, *values).tobytes())
+                        names.append(name(hasher, *values))
                         last = key
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(names, pa.binary())], ["key", "names"])
+                return keys, names
+
+            return run
 
-        return lambda df: df.select("key", *columns).mapInArrow(run, NAMED)
+        return start
 
-    inner_names = named(lambda *a: inner(*a)[2], ("text", "ranks"))(first.where("ranks is not null"))
-    inners = occurrences(inner_names, "repeated", width=4)[0].groupBy("key").agg(F.collect_list("names").alias("inners"))
+    sampled = first.where("ranks is not null").select("key", "text", "ranks")
+    found, _ = occurrences(sampled, named(lambda *a: inner(*a)[2]), "repeated", width=4)
+    inners = found.groupBy("key").agg(F.collect_list("names").alias("inners"))
     held = written(first.join(inners, "key", "left").where("copied or inners is not null"), "ranged")
-    suffix_names = named(lambda *a: possible(*a)[1], ("text", "ranks", "inners"))(held.where("inners is not null"))
-    lone, _ = occurrences(suffix_names, "single", width=8)
+    ranged = held.where("inners is not null").select("key", "text", "ranks", "inners")
+    lone, _ = occurrences(ranged, named(lambda *a: possible(*a)[1]), "single", width=8)
     alone = lone.groupBy("key").agg(F.collect_list("names").alias("alone"))
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

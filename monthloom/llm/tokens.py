@@ -45,7 +45,7 @@ class Encoder:
     cut texts in another way, texts with unsettled code points or a special token's string are encoded whole.
     """
 
-    def __init__(self, path: str, remembered: int = 1_500_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,8 +68,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.hashes, self.first = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.count, self.ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     @classmethod
     def of_process(cls, path: str) -> Encoder:
@@ -120,7 +120,7 @@ class Encoder:
             self._learn(distinct[new], [joined[at[i] : ends[i]] for i in example[new].tolist()])
             place = np.searchsorted(self.hashes, distinct)
         place = place[which]
-        count = self.count[place]
+        count = self.count[place].astype(np.int64)
         closed = kind[at] == END
         count[closed] = 0
         total = np.cumsum(count)
@@ -183,12 +183,12 @@ class Encoder:
         hashes = hashes[order][sort]
         where = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, where, hashes)
-        self.first = np.insert(self.first, where, first[sort])
-        self.count = np.insert(self.count, where, counts[sort])
+        self.first = np.insert(self.first, where, first[sort].astype(np.uint32))
+        self.count = np.insert(self.count, where, counts[sort].astype(np.uint32))
         self.ids = np.concatenate([self.ids, *ids])
 
 
-def in_slices(batches: Iterable[pa.RecordBatch], size: int = 4 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterable[pa.RecordBatch], size: int = 1 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches in slices of about ``size`` bytes at most; a longer single row is a slice of its own."""
     for batch in batches:
         step = max(1, min(rows, int(batch.num_rows * size / max(batch.nbytes, 1))))
