@@ -132,8 +132,8 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     2. Prefix filter under a global order: tokens that only one set has first, then the rarer before the more frequent
        among the sets left. Linked sets share a token of their prefixes, so frequent passages hardly ever pair sets.
     3. Of a token's sets, no pairs are listed at first: each set is paired with the one other set that most of its
-       tokens point to (the smallest key of another class), for a few rounds, and classes merge by the links found. Then
-       every pair of different classes that shares a prefix token is a candidate. So a group of near copies costs pairs
+       tokens point to (one of another class, with few tokens of its own), for a few rounds, and classes merge by the links found. Then
+       every pair of different classes is a candidate that shares a prefix token after which both have enough left. So a group of near copies costs pairs
        in proportion to its size, and no link between classes is missed.
     4. Candidates must also share a prefix token under two other global orders, by salted hashes, and are then verified
        on the exact sets.
@@ -145,13 +145,6 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
     texts = base.select("key", "text")
     answers, _ = occurrences(texts, _namer(k), "repeated", width=6)
-    shared = answers.groupBy("key").agg(F.collect_list("names").alias("parts"))
-
-    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Copies of a text may have been answered by several tasks.
-        for batch in batches:
-            names = [np.unique(np.frombuffer(b"".join(parts), "<u8")).tobytes() for parts in batch.column("parts").to_pylist()]
-            yield pa.record_batch([batch.column("key"), batch.column("n"), pa.array(names, pa.binary())], ["key", "n", "names"])
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
@@ -163,8 +156,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows = written(base.select("doc_id", "key", "text").mapInArrow(counted, f"doc_id {kind}, key long, n long"), "rows")
     counts = rows.groupBy("key").agg(F.max("n").alias("n"))
     enough = F.octet_length("names") / 8 * 100 >= F.col("n") * percent
-    sets = shared.join(counts, "key").select("key", "n", "parts").mapInArrow(merged, SETS)
-    sets = written(sets.where(enough), "sets")
+    sets = written(answers.join(counts, "key").where(enough).select("key", "n", "names"), "sets")
 
     tokens = _exploded(sets)
     frequency = tokens.groupBy("name").agg(F.count("*").alias("df"))
@@ -172,23 +164,31 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # Tokens of one set come first in its prefix; what they leave of it is taken from the others.
     places = _prefix_length(F.col("n"), percent) - (F.col("n") - F.size("ranked"))
     prefixes = ranked.join(sets.select("key", "n"), "key").where(places > 0)
-    prefixes = prefixes.select("key", "n", F.explode(F.slice("ranked", F.lit(1), places.cast("int"))).alias("t"))
-    prefixes = written(prefixes.select("key", "n", F.col("t.name").alias("name")), "prefixes")
+    unique = F.col("n") - F.size("ranked")
+    cut = F.slice("ranked", F.lit(1), places.cast("int"))
+    prefixes = prefixes.select("key", "n", unique.alias("unique"), F.posexplode(cut).alias("at", "t"))
+    prefixes = prefixes.select("key", "n", "unique", "t.name", (F.col("n") - F.col("unique") - F.col("at")).alias("left"))
+    prefixes = written(prefixes, "prefixes")
 
     links = None
-    for _ in range(STAR_ROUNDS):
+    for turn in range(STAR_ROUNDS):
         placed = _with_component(prefixes, links)
-        ends = placed.groupBy("name").agg(F.min_by("key", "component").alias("low_key"), F.min("component").alias("low"), F.max("component").alias("high"))
-        pointed = placed.join(ends.where("low <> high"), "name").where("component <> low")
+        # The set with the fewest tokens of its own is likely the one that the others are copies of; later rounds vary it.
+        rank = F.struct(F.col("unique") + F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 + 4 * turn)), "key")
+        ends = placed.groupBy("name").agg(F.min(F.struct(rank.alias("rank"), "component")).alias("low"))
+        ends = ends.select("name", F.col("low.rank.key").alias("low_key"), F.col("low.component").alias("low"))
+        pointed = placed.join(ends, "name").where("component <> low")
         best = pointed.groupBy("key", "low_key").agg(F.count("*").alias("votes"))
         best = best.groupBy("key").agg(F.max_by("low_key", F.struct("votes", "low_key")).alias("b"))
         found = written(_verified(best.select(F.col("key").alias("a"), "b"), sets, percent), "links")
         links = found if links is None else links.union(found)
     placed = written(_with_component(prefixes, links), "placed")
     ends = placed.groupBy("name").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = placed.join(ends.where("low <> high").select("name"), "name").select("name", "key", "n", "component")
-    other = open_.select("name", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    fits = (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent) & (F.col("component") < F.col("c_b"))
+    open_ = placed.join(ends.where("low <> high").select("name"), "name").select("name", "key", "n", "left", "component")
+    other = open_.select("name", F.col("key").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n", "left", "component")))
+    # From their first common token on, two sets have no more in common than the shorter rest of them.
+    most = F.least("left", "left_b")
+    fits = (most * 100 >= (F.col("n") + F.col("n_b") - most) * percent) & (F.col("component") < F.col("component_b"))
     pairs = open_.join(other, "name").where(fits).select(F.col("key").alias("a"), "b").distinct()
     links = links.union(written(_verified(pairs, sets, percent), "links"))
 

@@ -14,6 +14,7 @@ from monthloom.session import shuffle_partitions
 # Names that a map task holds before it deals them out.
 HELD = 1_000_000
 PACKED = "bucket int, answered boolean, keys binary, counts binary, names binary, common binary"
+GROUPED = "group int, keys binary, counts binary, names binary"
 ANSWERS = "key long, names binary"
 HASH_BASE = 0x9E3779B97F4A7C15
 
@@ -85,8 +86,8 @@ def occurrences(rows: DataFrame, namer: Callable[[], Namer], wanted: str, width:
 
     In a task, ``namer()`` gives a function from a batch of ``rows`` to keys and, for each, an array of 64-bit names of
     the text that the key stands for. A name occurs again if another key has it, or the same row twice; rows of the same
-    key are the same text and count once. Answers are (key, names), little-endian canonical names (see above), with
-    several rows per key and some names more than once.
+    key are the same text and count once. Answers are (key, names): one row per key that has any, with its distinct
+    canonical names (see above), sorted, as little-endian bytes.
 
     Map tasks settle what they can: a name that occurs twice in what a task holds is repeated, which is sent as one
     mark, so a name that a third of all rows have reaches its bucket once per million names. What is left is dealt out
@@ -180,11 +181,45 @@ def occurrences(rows: DataFrame, namer: Callable[[], Namer], wanted: str, width:
             yield answers(*_by_key(key, name))
 
     def answers(keys: np.ndarray, counts: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
-        ends = np.concatenate([[0], np.cumsum(counts)]) * 8
-        values = pa.Array.from_buffers(
-            pa.binary(), len(keys), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(names.astype("<u8"))]
-        )
-        return pa.record_batch([pa.array(keys, pa.int64()), values], ["key", "names"])
+        """Answers packed by groups of keys: a bucket has one row per group, not one per key."""
+        group = (mixed(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        first = np.cumsum(counts) - counts
+        out = {"group": [], "keys": [], "counts": [], "names": []}
+        start, length = _runs(group[order])
+        for s, n in zip(start.tolist(), length.tolist()):
+            mine = order[s : s + n]
+            at = np.repeat(first[mine] - (np.cumsum(counts[mine]) - counts[mine]), counts[mine]) + np.arange(counts[mine].sum())
+            values = (int(group[mine[0]]), keys[mine].tobytes(), counts[mine].astype("<u4").tobytes(), names[at].tobytes())
+            for column, value in zip(out.values(), values):
+                column.append(value)
+        types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+
+    def unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["group"] != group and parts:
+                    yield united(parts)
+                    parts = []
+                group = r["group"]
+                parts.append(r)
+        if parts:
+            yield united(parts)
+
+    def united(parts: list[dict]) -> pa.RecordBatch:
+        listed = np.concatenate([np.frombuffer(r["keys"], "<i8") for r in parts])
+        counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in parts])
+        key, names = np.repeat(listed, counts), np.frombuffer(b"".join([r["names"] for r in parts]), "<u8")
+        order = np.lexsort((names, key))
+        key, names = key[order], names[order]
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (names[1:] != names[:-1])])
+        key, names = key[fresh], names[fresh]
+        first, length = _runs(key)
+        rows_ = [names[a : a + n].tobytes() for a, n in zip(first.tolist(), length.tolist())]
+        return pa.record_batch([pa.array(key[first]), pa.array(rows_, pa.binary())], ["key", "names"])
 
     dealt = rows.mapInArrow(deal, PACKED).repartition(buckets, "bucket").sortWithinPartitions("answered", "bucket")
-    return dealt.mapInArrow(settle, ANSWERS), buckets
+    grouped = dealt.mapInArrow(settle, GROUPED).repartition(buckets, "group").sortWithinPartitions("group")
+    return grouped.mapInArrow(unite, ANSWERS), buckets

@@ -132,26 +132,26 @@ def repeated_spans(docs: DataFrame, least: int = 400, id_col: str = "doc_id", te
 
     long_ = base.where(F.octet_length("text") >= least)
     ranks, buckets = occurrences(long_.select("key", "text"), sampler, "repeated", width=4)
-    ranked = ranks.groupBy("key").agg(F.collect_list("names").alias("ranks"))
+    ranked = ranks.withColumnRenamed("names", "ranks")
     copied = long_.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
     wanted = ranked.join(copied, "key", "full").select("key", "ranks", F.col("copies").isNotNull().alias("copied"))
     first = written(base.join(wanted, "key"), "sampled")
 
-    def inner(hasher: RollingHash, text: bytes, ranks: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def inner(hasher: RollingHash, text: bytes, ranks: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Prefix sums of the text, places of inner strings around repeated samples, and their names."""
         sums = hasher.sums(np.frombuffer(text, np.uint8))
         at = cover.places(len(text))
         names = canonical(hasher.runs(sums, at, at + cover.length), 4, buckets)
-        at = at[np.isin(names, np.frombuffer(b"".join(ranks or []), "<u8"))]
+        at = at[np.isin(names, np.frombuffer(ranks or b"", "<u8"))]
         at = cover.inner_places(len(text), at)
         return sums, at, hasher.runs(sums, at, at + cover.inner)
 
-    def possible(hasher: RollingHash, text: bytes, ranks: list[bytes] | None, inners: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+    def possible(hasher: RollingHash, text: bytes, ranks: bytes | None, inners: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Places of suffixes that may be repeats, and their names."""
         if not inners:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         sums, at, names = inner(hasher, text, ranks)
-        at = at[np.isin(canonical(names, 4, buckets), np.frombuffer(b"".join(inners), "<u8"))]
+        at = at[np.isin(canonical(names, 4, buckets), np.frombuffer(inners, "<u8"))]
         at = cover.candidates(len(text), at)
         return at, hasher.runs(sums, at, at + least)
 
@@ -177,11 +177,11 @@ def repeated_spans(docs: DataFrame, least: int = 400, id_col: str = "doc_id", te
 
     sampled = first.where("ranks is not null").select("key", "text", "ranks")
     found, _ = occurrences(sampled, named(lambda *a: inner(*a)[2]), "repeated", width=4)
-    inners = found.groupBy("key").agg(F.collect_list("names").alias("inners"))
+    inners = found.withColumnRenamed("names", "inners")
     held = written(first.join(inners, "key", "left").where("copied or inners is not null"), "ranged")
     ranged = held.where("inners is not null").select("key", "text", "ranks", "inners")
     lone, _ = occurrences(ranged, named(lambda *a: possible(*a)[1]), "single", width=8)
-    alone = lone.groupBy("key").agg(F.collect_list("names").alias("alone"))
+    alone = lone.withColumnRenamed("names", "alone")
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
@@ -193,7 +193,7 @@ def repeated_spans(docs: DataFrame, least: int = 400, id_col: str = "doc_id", te
                     covered = np.ones(len(text), bool)
                 else:
                     at, names = possible(hasher, text, ranks, inners)
-                    at = at[~np.isin(names, np.frombuffer(b"".join(alone or []), "<u8"))]
+                    at = at[~np.isin(names, np.frombuffer(alone or b"", "<u8"))]
                     change = np.zeros(len(text) + 1, np.int32)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + least, -1)
