@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def whole_count(value: Column) -> Column:
-    """A forecast as a count: rounded half to even, never below zero."""
-    return F.greatest(F.lit(0).cast("bigint"), F.bround(value, 0).cast("bigint"))
+    """A forecast as a count: rounded half to even, never below zero; a missing forecast stays NULL."""
+    count = F.greatest(F.lit(0).cast("bigint"), F.bround(value, 0).cast("bigint"))
+    return F.when(value.isNotNull() & ~F.isnan(value.cast("double")), count)
 
 
 def two_decimals(value: Column) -> Column:

@@ -65,10 +65,10 @@ def checked_filters(
     start = None if start_year is None else whole_number(start_year, "start_year")
     end = None if end_year is None else whole_number(end_year, "end_year")
     if start is not None and end is not None and start > end:
-        raise ValueError("start_year cannot be greater than end_year.")
+        raise ValueError("The first year asked for comes after the last one.")
     allowed = {ALL_SEASONS, *cfg.seasons}
     if season not in allowed:
-        raise ValueError(f"season must be one of {sorted(allowed)}.")
+        raise ValueError(f"There is no season {season!r}; known are {sorted(allowed)}.")
     return start, end, season
 
 

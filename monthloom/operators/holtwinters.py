@@ -99,6 +99,8 @@ def predict_holtwinters(params: DataFrame, steps: int, skip: str | None = None)
 _FREE = PERIOD + 1  # level, trend and eleven seasonal terms; the twelfth is fixed at 0, the level takes it up
 _LOWEST, _FINEST_STEP = 1e-4, 5e-4
 _CHUNK = 64
+# Rounds after which a series that has not settled gets no fit. Most settle within 80.
+_ROUNDS = 5000
 _NEIGHBOURS = np.array([(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)], dtype=float)
 
 
@@ -133,7 +135,7 @@ def _fit_block(y: np.ndarray, grid: np.ndarray, bases: np.ndarray) -> tuple[np.n
     sse, start = sse[:, 0], start[:, 0]
     reach = np.full(len(y), 0.05)
     rows = np.arange(len(y))
-    for _ in range(80):
+    for _ in range(_ROUNDS):
         active = reach >= _FINEST_STEP
         if not active.any():
             break
@@ -146,6 +148,7 @@ def _fit_block(y: np.ndarray, grid: np.ndarray, bases: np.ndarray) -> tuple[np.n
         best[moved], sse[moved] = around[local, pick][better], tried[local, pick][better]
         start[moved] = starts[local, pick][better]
         reach[at[~better]] /= 2
+    sse[reach >= _FINEST_STEP] = np.nan
     full = np.concatenate([start, np.zeros((len(y), 1))], axis=1)
     _, level, trend, season = _errors(y.T, best, full.T)
     turned = np.roll(np.stack(season, axis=-1), -(y.shape[1] % PERIOD), axis=-1)

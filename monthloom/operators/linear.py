@@ -96,6 +96,10 @@ def _solve(n: pd.Series, x_mean: pd.Series, y_mean: pd.Series, xx: pd.Series, xy
     cross = cross - count * mean * y_mean.to_numpy(float)[:, None]
     known = np.isfinite(gram).all((1, 2)) & np.isfinite(cross).all(1)
     gram[~known], cross[~known] = 0.0, 0.0
-    slopes = (np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ cross[..., None])[..., 0]
+    # In correlation form, so that what counts as singular does not depend on the units of a regressor.
+    spread = np.sqrt(np.maximum(np.einsum("...ii->...i", gram), 0.0))
+    spread[~(spread > 0)] = 1.0
+    form = gram / (spread[:, :, None] * spread[:, None, :])
+    slopes = (np.linalg.pinv(form, rcond=1e-12, hermitian=True) @ (cross / spread)[..., None])[..., 0] / spread
     level = y_mean.to_numpy(float) - (mean * slopes).sum(1)
     return pd.Series([[a, *b] if ok else None for ok, a, b in zip(known, level, slopes)])

@@ -127,7 +127,8 @@ def _continued(state: Column, params: Column, steps: Column) -> Column:
 
 _STARTS = np.arctanh([(0.3, 0.3, -0.5, -0.5), (0.01, 0.01, -0.01, -0.01), (-0.3, -0.3, 0.3, -0.5), (0.5, 0.0, -0.8, -0.8)])
 _CHUNK = 256
-_ROUNDS = 60
+# Rounds after which a series that has not settled gets no fit. Most settle within 60.
+_ROUNDS = 2000
 
 
 _FIT = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("params", "state")])
@@ -197,26 +198,31 @@ def _fit_block(dy: np.ndarray, dx: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     sse = (errors**2).sum(-1)
     damping, settled = np.full(sse.shape, 1e-2), np.zeros(sse.shape, dtype=bool)
     for _ in range(_ROUNDS):
-        nudged = theta + 1e-6 * np.eye(count)[:, None, None, :]
-        slope = np.moveaxis((_errors(nudged, y, x) - errors) / 1e-6, 0, -1)
+        # Only series with an unsettled start go on, so a slow one costs its own rounds.
+        on = np.flatnonzero(~settled.all(1))
+        if not len(on):
+            break
+        now, y_on, x_on = theta[on], y[on], x[on]
+        nudged = now + 1e-6 * np.eye(count)[:, None, None, :]
+        slope = np.moveaxis((_errors(nudged, y_on, x_on) - errors[on]) / 1e-6, 0, -1)
         normal = slope.swapaxes(-1, -2) @ slope
         diagonal = np.einsum("...ii->...i", normal)
-        damped = normal + np.eye(count) * (damping[..., None] * diagonal + 1e-9)[..., None, :]
-        move = -np.linalg.solve(damped, slope.swapaxes(-1, -2) @ errors[..., None])[..., 0]
-        tried = theta + np.clip(move, -1, 1)
+        damped = normal + np.eye(count) * (damping[on][..., None] * diagonal + 1e-9)[..., None, :]
+        move = -np.linalg.solve(damped, slope.swapaxes(-1, -2) @ errors[on][..., None])[..., 0]
+        tried = now + np.clip(move, -1, 1)
         tried[..., :4] = np.clip(tried[..., :4], -3, 3)
-        new_errors = _errors(tried, y, x)
-        new_sse = (new_errors**2).sum(-1)
-        better = new_sse < sse
-        gain = np.where(better, (sse - new_sse) / np.maximum(sse, 1e-300), 0.0)
-        theta = np.where(better[..., None], tried, theta)
-        errors = np.where(better[..., None], new_errors, errors)
-        sse = np.where(better, new_sse, sse)
-        damping = np.clip(np.where(better, damping * 0.3, damping * 5), 1e-9, 1e9)
-        settled |= (better & (gain < 1e-10)) | (damping > 1e6)
-        if settled.all():
-            break
+        new_errors = _errors(tried, y_on, x_on)
+        new_sse, old_sse = (new_errors**2).sum(-1), sse[on]
+        better = (new_sse < old_sse) & ~settled[on]
+        gain = np.where(better, (old_sse - new_sse) / np.maximum(old_sse, 1e-300), 0.0)
+        theta[on] = np.where(better[..., None], tried, now)
+        errors[on] = np.where(better[..., None], new_errors, errors[on])
+        sse[on] = np.where(better, new_sse, old_sse)
+        damping[on] = np.clip(np.where(better, damping[on] * 0.3, damping[on] * 5), 1e-9, 1e9)
+        settled[on] |= (better & (gain < 1e-10)) | (damping[on] > 1e6)
     best = (np.arange(len(dy)), sse.argmin(1))
     effects = np.zeros((len(dy), dx.shape[-1]))
     effects[:, told] = theta[best][:, 4:] * scale[:, None]
-    return np.tanh(theta[best][:, :4]), effects, errors[best] * scale[:, None]
+    left = errors[best] * scale[:, None]
+    left[~settled[best]] = np.nan
+    return np.tanh(theta[best][:, :4]), effects, left

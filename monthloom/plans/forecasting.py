@@ -46,7 +46,9 @@ def forecast_all(
     ]
     if models.network is not None:
         parts.insert(0, _from_scaled(predict_network(scaled, models.network), MLP))
-    return as_counts(union_forecasts(*parts)).select("series_id", "model", "step", "ds", "yhat")
+    # A value that could not be computed, for want of a month it depends on, is no forecast of zero.
+    counts = as_counts(union_forecasts(*parts)).where("yhat is not null")
+    return counts.select("series_id", "model", "step", "ds", "yhat")
 
 
 def forecast_status(models: FittedModels) -> DataFrame:

@@ -34,7 +34,7 @@ from monthloom.session import written_by_series
 from monthloom.sources.panels import order_panel, read_table, shipment_panel
 
 # The years that stand in for an anomaly in these tables, and the filters of the history queries.
-CONFIG = PanelConfig(anomaly_years=(1998, 1999), mlp_epochs=200, mlp_local_epochs=50)
+CONFIG = PanelConfig(anomaly_years=(1998, 1999))
 YEARS = (1996, 2000)
 SEASON = "monsoon"
 # Given weights for the recursions that are checked by value.
