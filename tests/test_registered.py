@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.01"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.QUERIES, entry.ORACLES
 
 
 @pytest.fixture(scope="module")
