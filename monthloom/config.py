@@ -39,9 +39,9 @@ class PanelConfig:
     mlp_learning_rate: float = 0.001
     mlp_epochs: int = 2000
     mlp_batch_size: int = 16
-    # Epochs between two averagings of the weights, and rows held by one training task.
+    # Epochs between two averagings of the weights, and parts that the series are dealt into for training.
     mlp_local_epochs: int = 100
-    mlp_rows_per_task: int = 200_000
+    mlp_shards: int = 64
     seed: int = 7
 
     hw_min_rows: int = 2 * PERIOD

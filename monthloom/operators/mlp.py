@@ -24,6 +24,8 @@ _LAYER_SCHEMA = (
 _SUMS_SCHEMA = "kind STRING, pos INT, value DOUBLE, weight DOUBLE"
 # Sums over tasks are taken in decimals, so their order does not show in the result.
 _EXACT = "decimal(38,14)"
+# A weight or loss, on standardised values, from which training counts as diverged.
+_DIVERGED = 1e9
 
 
 @dataclass(frozen=True)
@@ -144,7 +146,9 @@ def full_gradient(rows: DataFrame, network: Network, columns: Sequence[str] = Z_
 
 @dataclass(frozen=True)
 class Training:
-    network: Network
+    """``network`` is None if training diverged; the losses are those of the rounds before."""
+
+    network: Network | None
     history: DataFrame
 
 
@@ -152,15 +156,15 @@ def train_network(scaled: DataFrame, cfg: PanelConfig = PanelConfig(), tasks: in
     """Train on the rows marked ``train``; the loss on those marked ``test`` is only measured.
 
     Every task trains a copy on its own rows for some epochs of shuffled mini-batches; then the copies are averaged
-    by their number of rows and handed out again. With one task this is plain mini-batch descent. What returns to
+    by their number of rows and handed out again. With one series this is plain mini-batch descent. What returns to
     the driver per round is one network and a few losses, whatever the number of rows. Rows lie in tasks by
     series and in order, and each task draws from a seed of its own, so a task that runs again gives the same.
 
-    Without ``tasks`` the rows are counted first, so pass a frame that is cheap to read again.
+    The number of tasks is ``cfg.mlp_shards``, whatever the number of rows, so that the method is the same at every
+    size; a shard is held in memory, so raise it with the number of series.
     """
     spark = scaled.sparkSession
-    if tasks is None:
-        tasks = max(1, math.ceil(scaled.count() / cfg.mlp_rows_per_task))
+    tasks = tasks or cfg.mlp_shards
     # A month without a value has nothing to learn from.
     wanted = scaled.select("series_id", "ds", "split", *Z_COLS, "z_y").dropna(subset=[*Z_COLS, "z_y"])
     laid_out = checkpointed(wanted.repartition(tasks, "series_id").sortWithinPartitions("series_id", "ds"))
@@ -169,6 +173,8 @@ def train_network(scaled: DataFrame, cfg: PanelConfig = PanelConfig(), tasks: in
     while done < cfg.mlp_epochs:
         epochs = min(cfg.mlp_local_epochs, cfg.mlp_epochs - done)
         network, found = _one_round(laid_out, network, epochs, cfg, len(losses))
+        if network is None:
+            break
         losses.append([(len(losses) + 1, done + i + 1, *found[i]) for i in range(epochs)])
         done += epochs
     flat = [row for part in losses for row in part]
@@ -199,8 +205,10 @@ def _one_round(rows: DataFrame, network: Network, epochs: int, cfg: PanelConfig,
                 flat -= local.learning_rate * slope
                 batch_loss[epoch] += loss / len(starts)
             held_loss[epoch] = ((forward(local, held_x)[-1][:, 0] - held_y) ** 2).sum()
-        if not np.isfinite(flat).all():
-            raise ValueError("training diverged; use a lower learning rate")
+        # Not-a-number is below no limit, so it counts too.
+        if not (np.abs(np.concatenate([flat, batch_loss, held_loss])) < _DIVERGED).all():
+            yield _sums("diverged", np.ones(1), 1.0)
+            return
         if len(y):
             yield _sums("network", flat, float(len(y)))
             yield _sums("train", batch_loss, float(len(starts)))
@@ -210,9 +218,11 @@ def _one_round(rows: DataFrame, network: Network, epochs: int, cfg: PanelConfig,
     sums = rows.drop("series_id", "ds").mapInPandas(per_task, _SUMS_SCHEMA)
     total = F.sum((F.col("value") * F.col("weight")).cast(_EXACT)).cast("double")
     means = sums.groupBy("kind", "pos").agg((total / F.sum("weight")).alias("mean")).collect()
-    values = {kind: {} for kind in ("network", "train", "held")}
+    values = {kind: {} for kind in ("network", "train", "held", "diverged")}
     for row in means:
         values[row["kind"]][row["pos"]] = row["mean"]
+    if values["diverged"]:
+        return None, []
     averaged = network.from_flat(np.array([values["network"][i] for i in range(network.flat().size)]))
     return averaged, [(values["train"][i], values["held"].get(i)) for i in range(epochs)]
 

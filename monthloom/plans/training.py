@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.config import EXOG_COLS, LINEAR, MLP, PanelConfig
+from monthloom.config import EXOG_COLS, LAGS, LEAD_ORDER, LINEAR, MLP, PanelConfig
 from monthloom.functions.layout import in_order
 from monthloom.operators.features import add_features, series_arrays, split_by_time
 from monthloom.operators.holtwinters import fit_holtwinters, predict_holtwinters
@@ -68,16 +68,33 @@ def backtest_forecasts(prepared: DataFrame, params: DataFrame, network: Network
 
 
 def evaluate_models(panel: DataFrame, cfg: PanelConfig = PanelConfig()) -> Evaluation:
-    """Prepare, fit all four models, and score them on the same held-out months."""
+    """Prepare, fit all four models, and score them on the same held-out months.
+
+    The model table also says why a series of ``panel`` has no fit; a model that fails leaves the others as they are.
+    """
     prepared = written_by_series(prepare(panel, cfg))
-    params = written_by_series(fit_per_series(prepared, cfg))
     training = train_network(prepared, cfg)
+    statuses = _left_out(panel, prepared, cfg)
+    if training.network is None:
+        failed = prepared.select("series_id", F.lit(MLP).alias("model"), F.lit("not_converged").alias("status"))
+        statuses = statuses.union(failed.distinct())
+    params = written_by_series(fit_per_series(prepared, cfg).unionByName(statuses, allowMissingColumns=True))
     scaler = fit_scaler(prepared.where("split = 'train'"))
     forecasts = backtest_forecasts(prepared, params, training.network, cfg)
     metrics = score(prepared.where("split = 'test'"), forecasts)
     return Evaluation(FittedModels(scaler, params, training.network), forecasts, metrics, training)
 
 
+def _left_out(panel: DataFrame, prepared: DataFrame, cfg: PanelConfig) -> DataFrame:
+    """``(series_id, model, status)`` for all models of the series that no usable row is left of."""
+    counted = panel.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_months"))
+    absent = counted.join(prepared.select("series_id").distinct(), "series_id", "left_anti")
+    short = F.col("n_months") <= max(LAGS) + cfg.test_months
+    status = F.when(short, "too_short").otherwise("missing_values")
+    models = F.explode(F.array(*map(F.lit, LEAD_ORDER)))
+    return absent.select("series_id", models.alias("model"), status.alias("status"))
+
+
 def _from_scaled(rows: DataFrame, model: str) -> DataFrame:
     step = F.row_number().over(in_order())
     yhat = unscale(F.col("z_yhat"))

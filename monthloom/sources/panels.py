@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.operators.rollup import Lookup, monthly_panel, with_calendar
+from monthloom.operators.rollup import Lookup, dense_months, monthly_panel, with_calendar
 
-_CSV_SCHEMA = "date STRING, value BIGINT, year INT, month INT"
 
+def read_monthly_csv(
+    spark: SparkSession,
+    path: str,
+    series_id: str = "all",
+    date_format: str = "M/d/yyyy",
+    value_col: str | None = None,
+    fill_months: bool = False,
+) -> DataFrame:
+    """A CSV whose header names ``date`` and a column of values, in any order, as a panel of one series.
 
-def read_monthly_csv(spark: SparkSession, path: str, series_id: str = "all", date_format: str = "M/d/yyyy") -> DataFrame:
-    """A CSV with header and the columns date, value, year, month, in this order, as a panel of one series.
-
-    A missing path fails when the frame is built, not when it is first used.
+    Without ``value_col`` the values are the one column besides date, year and month. An empty value stays NULL; text
+    that is no whole number or no date fails the job. ``fill_months`` adds the months that the file leaves out, as 0. A
+    missing path or column fails when the frame is built, not when it is first used.
     """
-    rows = spark.read.schema(_CSV_SCHEMA).option("header", True).option("enforceSchema", True).csv(path)
-    return with_calendar(
-        rows.select(
-            F.lit(series_id).alias("series_id"), F.to_date("date", date_format).alias("ds"), F.col("value").alias("y")
-        )
+    rows = spark.read.option("header", True).csv(path)
+    others = [c for c in rows.columns if c not in ("date", "year", "month")]
+    if value_col is None and len(others) != 1:
+        raise ValueError(f"Name the column of values; the file has {others}.")
+    date, value = (F.col(f"`{c}`") for c in ("date", value_col or others[0]))
+    ds, y = F.try_to_timestamp(date, F.lit(date_format)).cast("date"), value.try_cast("bigint")
+    panel = rows.select(
+        F.lit(series_id).alias("series_id"), _read_whole(date, ds, "date").alias("ds"), _read_whole(value, y, "value").alias("y")
     )
+    return dense_months(panel) if fill_months else with_calendar(panel)
+
+
+def _read_whole(text: Column, read: Column, what: str) -> Column:
+    """``read``, but an error where ``text`` is there and could not be read."""
+    failed = F.raise_error(F.concat(F.lit(f"This is no {what}: "), text))
+    return F.when(text.isNotNull() & read.isNull(), failed).otherwise(read)
 
 
 # Columns read from each table. A declared schema spares a job per table that would look it up in the files.

@@ -357,3 +357,14 @@ def test_a_pooled_fit_is_one_fit_over_all_rows(scaled):
 def test_models_without_a_network_can_be_kept(spark, result, tmp_path):
     save_models(FittedModels(result.models.scaler, result.models.params, None), str(tmp_path))
     assert load_models(spark, str(tmp_path), with_network=False).network is None
+
+
+def test_every_series_has_a_status_and_a_diverging_network_stops_no_other_model(panel):
+    tiny = panel.where("series_id = 'a'").orderBy("ds").limit(20).withColumn("series_id", F.lit("tiny"))
+    wild = replace(QUICK, mlp_learning_rate=1e6)
+    result = evaluate_models(panel.unionByName(tiny), wild)
+    status = {(r.series_id, r.model): r.status for r in forecast_status(result.models).collect()}
+    models = {LINEAR, SARIMA, HOLT_WINTERS, MLP}
+    assert {m: status["tiny", m] for m in models} == dict.fromkeys(models, "too_short")
+    assert result.models.network is None and status["a", MLP] == "not_converged"
+    assert {r.model for r in result.metrics.collect()} == models - {MLP}

@@ -104,3 +104,20 @@ def test_csv(spark, tmp_path):
     ]
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         read_monthly_csv(spark, str(tmp_path / "absent.csv"))
+
+
+def test_csv_columns_go_by_name_and_bad_text_fails(spark, tmp_path):
+    def read(text, **kwargs):
+        path = tmp_path / f"{abs(hash(text))}.csv"
+        path.write_text(text)
+        return read_monthly_csv(spark, str(path), **kwargs)
+
+    other_order = read("year,month,date,visitors\n1991,1,1/1/1991,17917\n1991,3,3/1/1991,\n")
+    assert [(r.ds, r.y) for r in other_order.orderBy("ds").collect()] == [(dt.date(1991, 1, 1), 17917), (dt.date(1991, 3, 1), None)]
+    two = "date,a,b.c\n1/1/1991,1,2\n3/1/1991,3,4\n"
+    assert [r.y for r in read(two, value_col="b.c", fill_months=True).orderBy("ds").collect()] == [2, 0, 4]
+    with pytest.raises(ValueError, match="Name the column"):
+        read(two)
+    for bad in ("date,visitors\n1/1/1991,12x\n", "date,visitors\n1991-01,12\n"):
+        with pytest.raises(Exception, match="This is no"):
+            read(bad).collect()
