@@ -41,7 +41,7 @@ class PanelConfig:
     mlp_batch_size: int = 16
     # Epochs between two averagings of the weights, and parts that the series are dealt into for training.
     mlp_local_epochs: int = 100
-    mlp_shards: int = 64
+    mlp_shards: int = 8
     seed: int = 7
 
     hw_min_rows: int = 2 * PERIOD
