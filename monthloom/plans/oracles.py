@@ -355,8 +355,10 @@ ORACLES: dict[str, str] = {
     "mlp_gradient": f"{GRADIENT} SELECT CAST(pos AS INTEGER) AS pos, {r('gradient')} AS gradient FROM terms",
     "forecast_union": f"{FORECASTS} SELECT series_id, model, {LABEL}, step, {r('yhat')} AS yhat FROM forecasts",
     "forecast_metrics": f"{FORECASTS} SELECT series_id, model, mae, rmse, mape FROM metrics",
+    "metrics_roundtrip": f"{FORECASTS} SELECT series_id, model, mae, rmse, mape FROM metrics",
     "unpaired_months": f"""{SPLIT},
-      shown AS (SELECT series_id, ds FROM test WHERE step <= 9), kept AS (SELECT series_id, ds FROM test WHERE year = 2001)
+      kept AS (SELECT series_id, ds FROM test),
+      shown AS (SELECT series_id, CAST(ds + INTERVAL 3 MONTH AS DATE) AS ds FROM test)
       SELECT series_id, {LABEL}, '{NAIVE}' AS model, 'forecast' AS has_only
       FROM shown ANTI JOIN kept USING (series_id, ds)
       UNION ALL
