@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from monthloom.llm.alignment import alignment_counts
 from monthloom.llm.decontaminate import contamination
 from monthloom.llm.jaccard import similar_classes
 from monthloom.llm.licenses import scan_licenses, templates
+from monthloom.llm.negatives import hard_negatives
 from monthloom.llm.packing import pack
+from monthloom.llm.phrases import repeated_passages
 from monthloom.llm.quality import ByteConvNet, fit, score
 from monthloom.llm.secretscan import LEDGER, RULES, findings_by_path, scan, span_text
 from monthloom.llm.suffixes import repeated_spans
@@ -23,6 +26,7 @@ from monthloom.llm.workspace import new_folder
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 # The rules of the url query.
 URL_RULES = [
     HostRule("allow", "org", "/"), HostRule("block", "example.org", "/es/"), HostRule("block", "example.org", "/en/1"),
@@ -105,6 +109,20 @@ def q_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def q_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(table(spark, folder, "documents"), width=13)
+
+
+def q_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    emb = table(spark, folder, "embeddings")
+    relabelled = emb.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(relabelled, F.col("vec_id") % 100 == 0, positives=5, negatives=5, scale=256)
+
+
+def q_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment_counts(table(spark, folder, "documents"), TOKENIZER, PIECE_TOKENIZER)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": q_urls,
     "op2_concatenate_and_cut": q_packing,
@@ -116,4 +134,7 @@ QUERIES: dict[str, Query] = {
     "op8_spaced_seed_decontamination": q_decontamination,
     "op9_token_files": q_token_files,
     "op10_secret_ledger": q_secrets,
+    "op11_phrase_automata": q_passages,
+    "op12_triangle_negatives": q_hard_negatives,
+    "op13_diagonal_alignment": q_alignment,
 }
