@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from monthloom.config import FEATURE_COLS, HOLT_WINTERS, LAGS, LINEAR, SEASON_MONTHS
-from monthloom.plans.registered import ARMA, CONFIG, NAIVE, SEASON, SMOOTHING, YEARS
+from monthloom.plans.registered import ARMA, CONFIG, KALMAN_ARMA, NAIVE, SEASON, SMOOTHING, YEARS
 
 LABEL = "strftime(ds, '%Y-%m') AS date_label"
 Z = [f"z_{c}" for c in FEATURE_COLS]
@@ -216,6 +216,27 @@ SARMA = PANEL + f""",
       FROM path WHERE t < n),
     done AS (SELECT series_id, unnest(dates) AS ds, unnest(e[14:]) AS error FROM path WHERE t = n)"""
 
+_PHI, _THETA = KALMAN_ARMA
+
+# The Kalman filter of an ARMA(1,1) with state (x_t, θ e_t), started from its stationary covariance, one month per step:
+# after an observation the first state is known, so only the second's variance is carried on.
+KALMAN = PANEL + f""",
+    diffs AS (
+      SELECT series_id, ds, CAST(y - lag(y) OVER w - lag(y, 12) OVER w + lag(y, 13) OVER w AS DOUBLE) AS dy
+      FROM panel WINDOW w AS (PARTITION BY series_id ORDER BY ds)),
+    known AS (SELECT series_id, list(dy ORDER BY ds) AS ws FROM diffs WHERE dy IS NOT NULL GROUP BY series_id),
+    kal AS (
+      SELECT series_id, ws, len(ws) AS n, 1 AS t, CAST(0 AS DOUBLE) AS a0, CAST(0 AS DOUBLE) AS a1,
+             (1 + 2 * {_PHI} * ({_THETA}) + ({_THETA}) * ({_THETA})) / (1 - {_PHI} * {_PHI}) AS p00,
+             CAST({_THETA} AS DOUBLE) AS p01, ({_THETA}) * ({_THETA}) AS p11, CAST(0 AS DOUBLE) AS sq, CAST(0 AS DOUBLE) AS lf
+      FROM known
+      UNION ALL
+      SELECT series_id, ws, n, t + 1, {_PHI} * ws[t] + a1 + p01 / p00 * (ws[t] - a0), CAST(0 AS DOUBLE),
+             p11 - p01 * p01 / p00 + 1, {_THETA}, ({_THETA}) * ({_THETA}),
+             sq + (ws[t] - a0) * (ws[t] - a0) / p00, lf + ln(p00)
+      FROM kal WHERE t <= n),
+    ends AS (SELECT series_id, n, sq / n AS s2, lf FROM kal WHERE t = n + 1)"""
+
 
 def _network(sizes: tuple[int, ...]) -> str:
     """Outputs of each layer ``h<k>`` per row and unit, by the formula of the registered network."""
@@ -346,6 +367,8 @@ ORACLES: dict[str, str] = {
       SELECT series_id, {LABEL}, CAST(step AS INTEGER) AS step, {r('yhat')} AS yhat FROM ({HW_FORECAST})""",
     "hw_state_fixed": f"""{PANEL}{_smoothing("panel")}
       SELECT series_id, {r('l')} AS level, {r('b')} AS trend, {r('sse')} AS sse FROM hw_end""",
+    "arma_likelihood_fixed": f"""{KALMAN}
+      SELECT series_id, n, {r('ln(s2)')} AS log_sigma2, {r('-0.5 * (n * ln(2 * pi() * s2) + lf + n)')} AS loglike FROM ends""",
     "sarma_filter_fixed": f"{SARMA} SELECT series_id, {LABEL}, {r('error')} AS error FROM done",
     "mlp_forward": f"{MLP} SELECT series_id, {LABEL}, {r('v')} AS yhat FROM h3",
     "mlp_forward_batched": f"{MLP} SELECT series_id, {LABEL}, {r('v')} AS yhat FROM h3",

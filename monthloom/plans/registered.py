@@ -6,6 +6,7 @@ Dates appear as ``yyyy-MM`` labels and doubles rounded, so that results can be c
 from __future__ import annotations
 
 import math
+from functools import reduce
 import uuid
 from collections.abc import Callable
 
@@ -28,6 +29,7 @@ from monthloom.operators.metrics import as_counts, forecast_summary, leaderboard
 from monthloom.operators.mlp import Z_COLS, Network, full_gradient, network_expression, predict_network, train_network
 from monthloom.operators.rollup import monthly_panel
 from monthloom.operators.sarima import error_path, fit_sarima
+from monthloom.operators.statespace import Order, fit_statespace, forecast_statespace, likelihood_fixed
 from monthloom.operators.scaling import apply_scaler, fit_scaler, standardise, unscale
 from monthloom.plans.forecasting import forecast_all
 from monthloom.plans.training import evaluate_models, prepare
@@ -42,6 +44,10 @@ SEASON = "monsoon"
 # Given weights for the recursions that are checked by value.
 SMOOTHING = (0.4, 0.1, 0.3)
 ARMA = (0.437, 0.381, -0.731, -0.863)
+# Given weights of an ARMA(1,1) whose exact likelihood, from its stationary start, is checked by value.
+KALMAN_ARMA = (0.437, -0.731)
+# Orders fitted by likelihood beside the configured one, with or without the regressors.
+ORDERS = ((Order(0, 1, 1, 0, 1, 1, 12), False), (Order(1, 1, 0, 1, 1, 0, 12), False), (Order(2, 1, 1, 0, 1, 1, 12), True))
 OLS2 = ("lag_1", "lag_12")
 NAIVE = "Seasonal Naive"
 
@@ -300,6 +306,45 @@ def q_sarima_fit_shipments(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(fitted.select("series_id", "status", *[F.col("params")[n].alias(n) for n in names]), 4)
 
 
+def q_arma_likelihood_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact log likelihood of each differenced series under given ARMA(1,1) weights, by the Kalman filter."""
+    differenced = seasonal_difference(order_panel(spark, folder)).where("dy IS NOT NULL")
+    kept = likelihood_fixed(series_arrays(differenced, "dy"), KALMAN_ARMA, Order(1, 0, 1, 0, 0, 0, 12), "dy", "stationary")
+    n = F.size("dy")
+    squares = F.aggregate(F.zip_with("innovations", "variances", lambda v, f: v * v / f), F.lit(0.0), lambda a, b: a + b)
+    logs = F.aggregate(F.transform("variances", lambda f: F.log(f)), F.lit(0.0), lambda a, b: a + b)
+    sigma2 = squares / n
+    loglike = -0.5 * (n * F.log(2 * math.pi * sigma2) + logs + n)
+    return rounded(kept.select("series_id", n.cast("long").alias("n"), F.log(sigma2).alias("log_sigma2"), loglike.alias("loglike")), 6)
+
+
+def _likelihood_fit(spark: SparkSession, folder: str, order: Order, exog: tuple[str, ...]) -> DataFrame:
+    arrays = series_arrays(_train_by_series(order_panel(spark, folder)), "y", *exog)
+    return fit_statespace(arrays, order, exog)
+
+
+def q_sarima_mle(spark: SparkSession, folder: str) -> DataFrame:
+    """The configured SARIMA with the four flags, fitted by exact likelihood."""
+    fitted = _likelihood_fit(spark, folder, Order(), EXOG_COLS)
+    names = (*Order().names, "loglike", "aic", *EXOG_COLS)
+    return rounded(fitted.select("series_id", "status", *[F.col("params")[n].alias(n.replace(".", "_")) for n in names]), 4)
+
+
+def q_sarima_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Three more orders by exact likelihood, two of them without regressors."""
+    parts = [_likelihood_fit(spark, folder, order, EXOG_COLS if exog else ()) for order, exog in ORDERS]
+    rows = [p.select("series_id", "order", "status", F.col("params")["loglike"].alias("loglike"), F.col("params")["aic"].alias("aic")) for p in parts]
+    return rounded(reduce(DataFrame.unionByName, rows), 4)
+
+
+def q_sarima_mle_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors over the held-out months of the likelihood fit's forecasts, per series."""
+    fitted = _likelihood_fit(spark, folder, Order(), EXOG_COLS)
+    test = _test(spark, folder)
+    ahead = forecast_statespace(fitted, CONFIG.test_months, test, Order(), EXOG_COLS)
+    return score(test, ahead)
+
+
 def q_mlp_forward(spark: SparkSession, folder: str) -> DataFrame:
     """Network output by Spark expressions."""
     network = formula_network((len(Z_COLS), 64, 32, 1))
