@@ -1,8 +1,10 @@
 """Passages of words that recur across documents, confirmed by hashes and located by sharded Aho-Corasick automata.
 
-1. Confirm: every window of ``width`` consecutive words gets a 96-bit key (xxhash64 and murmur3 of its words). Keys seen
+1. Confirm: every window of ``width`` consecutive words gets a 96-bit key (xxhash64 and murmur3 over its words' own
+   xxhash64 and murmur3). Keys seen
    in two documents or more are recurring; one window of each is taken as the passage's text.
-2. Compile: passages are dealt into shards of at most about ``shard_bytes`` of text; each shard is one automaton.
+2. Compile: passages are dealt into shards of about ``shard_bytes`` of text by the row they were cut from, so that the
+   copies of one document need one shard; each shard is one automaton.
 3. Stream: each document goes through the automata of the shards it holds a recurring key of (no other shard can match
    it), in groups of about ``group_bytes`` of text per shard, so neither a hot shard nor a long document fills one task.
    The automaton reports every occurrence of a passage's exact words, overlaps included; hashes only choose.
@@ -26,7 +28,7 @@ from monthloom.llm.workspace import written
 # The characters between words.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 _SPLIT = re.compile(SEPARATORS)
-OCCURRENCES = "doc_id long, th long, h1 long, h2 long, at int"
+OCCURRENCES = "rid long, doc_id long, h1 long, h2 long, at int"
 OUTCOME = "n_words long, n_removed long, kept_sha256 string"
 
 
@@ -39,12 +41,16 @@ def split_words(text: str | None) -> list[str]:
     return [w for w in _SPLIT.split(text or "") if w]
 
 
-def _keys(words: Column, width: int) -> Column:
-    """(h1, h2, at) of every window of ``width`` words; none in a shorter text."""
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width))
-    window = lambda i: F.slice(words, i + 1, width)
+def _keys(long_hashes: Column, short_hashes: Column, width: int) -> Column:
+    """(h1, h2, at) of every window of ``width`` words, from each word's xxhash64 and murmur3; none in a shorter text."""
+    starts = F.when(F.size(long_hashes) >= width, F.sequence(F.lit(0), F.size(long_hashes) - width))
     return F.transform(
-        starts, lambda i: F.struct(F.xxhash64(window(i)).alias("h1"), F.hash(window(i)).cast("long").alias("h2"), i.alias("at"))
+        starts,
+        lambda i: F.struct(
+            F.xxhash64(F.slice(long_hashes, i + 1, width)).alias("h1"),
+            F.hash(F.slice(short_hashes, i + 1, width)).cast("long").alias("h2"),
+            i.alias("at"),
+        ),
     )
 
 
@@ -53,7 +59,7 @@ def _joined_on_keys(rows: DataFrame, keys: DataFrame, salts: int) -> DataFrame:
 
     Each key is dealt to ``salts`` tasks together with a slice of its rows, so that a hot key is split.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(salts)))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("rid", "at"), F.lit(salts)))
     spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, ["h1", "h2", "salt"]).drop("salt")
 
@@ -68,15 +74,15 @@ def _locate(width: int):
             for h1, h2, text in zip(passages["h1"], passages["h2"], passages["text"]):
                 automaton.add_word(f" {text} ", (int(h1), int(h2), len(text) + 2))
             automaton.make_automaton()
-            for doc_id, th, text in zip(docs["doc_id"], docs["th"], docs["text"]):
+            for rid, doc_id, text in zip(docs["rid"], docs["doc_id"], docs["text"]):
                 words = split_words(text)
                 if len(words) < width:
                     continue
                 lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
                 starts = np.cumsum(lengths) - lengths  # where each word's leading blank lies in " w1 w2 ... "
                 for end, (h1, h2, size) in automaton.iter(" " + " ".join(words) + " "):
-                    out.append((int(doc_id), int(th), h1, h2, int(np.searchsorted(starts, end - size + 1))))
-        return pd.DataFrame(out, columns=["doc_id", "th", "h1", "h2", "at"])
+                    out.append((int(rid), int(doc_id), h1, h2, int(np.searchsorted(starts, end - size + 1))))
+        return pd.DataFrame(out, columns=["rid", "doc_id", "h1", "h2", "at"])
 
     return run
 
@@ -108,51 +114,66 @@ def repeated_passages(
 
     Words are runs of characters other than blank and tab to carriage return, unchanged; a null text has none. A word is
     removed when a window of ``width`` words around it also starts in a document with a smaller doc_id; windows are judged
-    on the input. Rows with a null doc_id neither remove nor lose words. Repeated rows (same doc_id and text) are one
-    document: they remove nothing from each other and get equal rows. Texts shorter than a window lose nothing. Other
+    on the input. Rows with a null doc_id neither remove nor lose words. Rows with the same doc_id remove nothing from each
+    other; repeated rows (same doc_id and text) get equal rows. Texts shorter than a window lose nothing. Other
     columns are neither read nor returned, whatever their names.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    ).withColumn("th", F.xxhash64("text"))
-    spark = rows.sparkSession
+    # Each row gets a fixed number once, written, so that every later step refers to the same row by one long.
+    rows = written(
+        docs.select(
+            F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+        ).withColumn("rid", F.monotonically_increasing_id()),
+        "rows",
+    )
     keyed = rows.where(F.col("doc_id").isNotNull())
-    windows = keyed.select("doc_id", "th", F.explode(_keys(words_of(F.col("text")), width)).alias("w")).select(
-        "doc_id", "th", "w.h1", "w.h2", "w.at"
+    # Words, and each word's two hashes, are columns of their own: the text is split once and each word hashed once,
+    # and a window's key only hashes slices of the hash arrays.
+    listed = keyed.select("rid", "doc_id", words_of(F.col("text")).alias("words"))
+    hashed = listed.select(
+        "rid", "doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("a"), F.transform("words", lambda w: F.hash(w)).alias("b")
+    )
+    windows = hashed.select("rid", "doc_id", F.explode(_keys(F.col("a"), F.col("b"), width)).alias("w")).select(
+        "rid", "doc_id", "w.h1", "w.h2", "w.at"
     )
+    # Minima and min_by of longs combine on the map side in a hash aggregate, so a key of many windows is no hot group.
+    # The passage's text is cut from the row with the smallest number among those that hold the key.
     recurring = written(
         windows.groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "th", "at")).alias("first"))
+        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("rid").alias("first"), F.min_by("at", "rid").alias("at"))
         .where("lo < hi")
-        .select("h1", "h2", "first.*"),
+        .select("h1", "h2", "first", "at"),
         "recurring",
     )
-    # One window of each recurring key as the passage's text, cut from its first document.
-    firsts = recurring.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h1", "h2", "at")).alias("wanted"))
-    texts = keyed.join(firsts, ["doc_id", "th"]).select(words_of(F.col("text")).alias("words"), F.explode("wanted").alias("w"))
-    passages = texts.select("w.h1", "w.h2", F.array_join(F.slice("words", F.col("w.at") + 1, width), " ").alias("text"))
-    passages = written(passages, "passages")
-    total = passages.agg(F.sum(F.length("text") + 2).alias("b"), F.count("*").alias("n")).first()
-    shards = max(1, math.ceil((total["b"] or 0) / shard_bytes))
-    shard = lambda: F.pmod(F.col("h1"), F.lit(shards)).cast("int")
-
-    held = _joined_on_keys(windows, recurring.select("h1", "h2"), salts)
-    needs = held.select("doc_id", "th", shard().alias("shard")).distinct()
-    streamed = rows.join(needs, ["doc_id", "th"]).withColumn("size", F.length("text") + 2)
+    firsts = recurring.groupBy("first").agg(F.collect_list(F.struct("h1", "h2", "at")).alias("wanted"))
+    texts = listed.join(firsts.withColumnRenamed("first", "rid"), "rid").select(
+        F.col("rid").alias("first"), "words", F.explode("wanted").alias("w")
+    )
+    # Passages are dealt to shards by the row they were cut from: the copies of one document then need one shard.
+    passages = written(
+        texts.select("w.h1", "w.h2", "first", F.array_join(F.slice("words", F.col("w.at") + 1, width), " ").alias("text")),
+        "passages",
+    )
+    total = passages.agg(F.sum(F.length("text") + 2).alias("b")).first()["b"] or 0
+    shards = max(1, math.ceil(total / shard_bytes))
+    shard = F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int").alias("shard")
+
+    held = _joined_on_keys(windows, recurring.select("h1", "h2", "first"), salts)
+    needs = held.select("rid", shard).distinct()
+    streamed = rows.join(needs, "rid").withColumn("size", F.length("text") + 2)
     groups = streamed.groupBy("shard").agg(F.ceil(F.sum("size") / F.lit(group_bytes)).cast("int").alias("groups"))
     streamed = streamed.join(F.broadcast(groups), "shard").withColumn(
-        "group", F.pmod(F.xxhash64("doc_id", "th"), F.col("groups")).cast("int")
+        "group", F.pmod(F.xxhash64("rid"), F.col("groups")).cast("int")
     )
-    dealt = passages.withColumn("shard", shard()).join(F.broadcast(groups), "shard").withColumn(
+    dealt = passages.select("h1", "h2", "text", shard).join(F.broadcast(groups), "shard").withColumn(
         "group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
     )
     found = dealt.select("shard", "group", "h1", "h2", "text").groupBy("shard", "group").cogroup(
-        streamed.select("shard", "group", "doc_id", "th", "text").groupBy("shard", "group")
+        streamed.select("shard", "group", "rid", "doc_id", "text").groupBy("shard", "group")
     ).applyInPandas(_locate(width), OCCURRENCES)
     found = written(found, "occurrences")
 
     first_doc = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"))
     later = _joined_on_keys(found, first_doc, salts).where(F.col("doc_id") > F.col("lo"))
-    starts = later.groupBy("doc_id", "th").agg(F.collect_set("at").alias("starts"))
-    outcome = rows.join(starts, ["doc_id", "th"], "left").select("doc_id", _outcome(width)("text", "starts").alias("o"))
+    starts = later.groupBy("rid").agg(F.collect_set("at").alias("starts"))
+    outcome = rows.join(starts, "rid", "left").select("doc_id", _outcome(width)("text", "starts").alias("o"))
     return outcome.select("doc_id", "o.*")
