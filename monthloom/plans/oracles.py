@@ -367,6 +367,10 @@ ORACLES: dict[str, str] = {
       SELECT series_id, {LABEL}, CAST(step AS INTEGER) AS step, {r('yhat')} AS yhat FROM ({HW_FORECAST})""",
     "hw_state_fixed": f"""{PANEL}{_smoothing("panel")}
       SELECT series_id, {r('l')} AS level, {r('b')} AS trend, {r('sse')} AS sse FROM hw_end""",
+    "ols_raw": f"""{PANEL}
+      SELECT series_id, 'ok' AS status, round(regr_intercept(y, x), 2) AS intercept, round(regr_slope(y, x) * 31557600, 4) AS slope_per_year
+      FROM (SELECT series_id, CAST(y AS DOUBLE) AS y, CAST(date_diff('day', DATE '1970-01-01', ds) AS DOUBLE) * 86400 AS x FROM panel)
+      GROUP BY series_id""",
     "arma_likelihood_fixed": f"""{KALMAN}
       SELECT series_id, n, {r('ln(s2)')} AS log_sigma2, {r('-0.5 * (n * ln(2 * pi() * s2) + lf + n)')} AS loglike FROM ends""",
     "sarma_filter_fixed": f"{SARMA} SELECT series_id, {LABEL}, {r('error')} AS error FROM done",

@@ -29,6 +29,7 @@ from monthloom.operators.metrics import as_counts, forecast_summary, leaderboard
 from monthloom.operators.mlp import Z_COLS, Network, full_gradient, network_expression, predict_network, train_network
 from monthloom.operators.rollup import monthly_panel
 from monthloom.operators.sarima import error_path, fit_sarima
+from monthloom.operators.orthogonal import fit_linear_orthogonal
 from monthloom.operators.statespace import Order, fit_statespace, forecast_statespace, likelihood_fixed
 from monthloom.operators.scaling import apply_scaler, fit_scaler, standardise, unscale
 from monthloom.plans.forecasting import forecast_all
@@ -224,6 +225,16 @@ def q_ols_fit(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(coefficient_report(fitted, Z_COLS).where("position > 0"))
 
 
+def q_ols_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders against the month's date in seconds (mean about 1e9), by orthogonal reduction; slope per year of 365.25 days."""
+    panel = order_panel(spark, folder).withColumn("seconds", F.datediff("ds", F.lit("1970-01-01")).cast("double") * 86400)
+    fitted = fit_linear_orthogonal(panel, ["seconds"], "y")
+    return fitted.select(
+        "series_id", "status", F.round(F.col("params")["intercept"], 2).alias("intercept"),
+        F.round(F.col("params")["seconds"] * 31557600, 4).alias("slope_per_year"),
+    )
+
+
 def q_ols_pooled(spark: SparkSession, folder: str) -> DataFrame:
     """One fit over the scaled rows of all nations."""
     regressors = [f"z_{c}" for c in OLS2]
