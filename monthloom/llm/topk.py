@@ -81,7 +81,9 @@ class Postings:
         essential = int(np.searchsorted(-rest, -least, side="right")) if full else 0
         if full and rest[0] < least:
             return scores, found
-        if full and essential:
+        # Rows that no essential term raises score at most what is left after them, or 0 when every term is essential;
+        # only when that stays below the k-th score may they be passed over.
+        if full and essential and (essential < len(rest) or least > 0):
             reached = np.zeros(len(self.ids), bool)
             for t, w in zip(terms[:essential].tolist(), weight[:essential].tolist()):
                 reached |= self.columns[t] * w > 0

@@ -224,3 +224,21 @@ def test_registered_alignment_against_brute_force(spark, pair):
     got = _got(QUERIES["op13_diagonal_alignment"](spark, SF))
     assert got == _alignment_brute(pair, rows)
     assert sum(v[4] > 0 for v in got.values()) > 100
+
+
+def test_maxscore_blocks_equal_brute_force_on_signed_low_dimensions():
+    from monthloom.llm.topk import Postings
+
+    rng = np.random.default_rng(11)
+    for case in range(3000):
+        dims, n, k = int(rng.integers(1, 7)), int(rng.integers(1, 40)), int(rng.integers(1, 12))
+        vectors = rng.integers(-5, 6, (n, dims))
+        ids = rng.permutation(1000)[:n].astype(np.int64)
+        query = rng.integers(-5, 6, dims)
+        own = int(ids[0]) if case % 3 == 0 else -1
+        scores, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for start in range(0, n, 7):
+            block = Postings(ids[start : start + 7], vectors[start : start + 7])
+            scores, found = block.best(query, own, k, scores, found)
+        everyone = sorted((-int(v @ query), int(i)) for i, v in zip(ids, vectors) if i != own)[:k]
+        assert list(zip((-scores).tolist(), found.tolist())) == everyone, case
