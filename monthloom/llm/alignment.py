@@ -24,7 +24,7 @@ from monthloom.session import fits_broadcast
 
 ALIGNED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-    "links array<struct<a:long,b:long,m:long>>"
+    "link_a array<long>, link_b array<long>, link_m array<long>"
 )
 _BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 
@@ -61,6 +61,15 @@ class Pair:
             self.b_bytes.append(bytes([int(byte.group(1), 16)]) if byte else piece.replace("▁", " ").encode("utf-8"))
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(t), np.uint8) for t in (self.a_bytes, self.b_bytes))
+        self.a_start, self.b_start = (np.cumsum(n) - n for n in (self.a_len, self.b_len))
+
+    @staticmethod
+    def _spelled(ids: np.ndarray, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
+        """The bytes of ``ids`` in a row, gathered at once."""
+        sizes = length[ids]
+        before = np.cumsum(sizes) - sizes
+        return flat[np.repeat(start[ids] - before, sizes) + np.arange(int(sizes.sum()))].tobytes()
 
     @classmethod
     def of_process(cls, a_path: str, b_path: str) -> Pair:
@@ -78,66 +87,95 @@ class Pair:
         for i, a, b in zip(live, a_ids, b_ids):
             a, b = np.asarray(a.ids, np.int64), np.asarray(b, np.int64)
             whole = (" " + texts[i]).encode("utf-8")
-            if b"".join(self.a_bytes[x] for x in a.tolist()) == whole == b"".join(self.b_bytes[x] for x in b.tolist()):
+            spelled_a = self._spelled(a, self.a_flat, self.a_start, self.a_len)
+            if spelled_a == whole == self._spelled(b, self.b_flat, self.b_start, self.b_len):
                 out[i] = (a, b)
         return out
 
 
-def _same(a: np.ndarray, b: np.ndarray, i: int, j: int, length: int) -> bool:
-    return i + length <= len(a) and j + length <= len(b) and np.array_equal(a[i : i + length], b[j : j + length])
-
+def group_stops(a_end, b_end) -> tuple[list[int], list[int]]:
+    """Where each group stops in A and in B (exclusive), for two rising end arrays with the same last value.
 
-def aligned_groups(a_end: np.ndarray, b_end: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Groups as (first A, last A + 1, first B, last B + 1) of two rising end arrays with the same last value."""
-    groups: list[tuple[int, int, int, int]] = []
+    At the current index shift, slices of both arrays are compared at doubling lengths, then halving ones, to jump the
+    one-to-one stretch; where the ends part, the one behind advances until they meet, which sets the new shift.
+    """
+    a, b = list(map(int, a_end)), list(map(int, b_end))
+    na, nb = len(a), len(b)
+    a_stop: list[int] = []
+    b_stop: list[int] = []
     i = j = 0
-    while i < len(a_end):
+    while i < na:
         run, step = 0, 1
-        while _same(a_end, b_end, i + run, j + run, step):
+        while i + run + step <= na and j + run + step <= nb and a[i + run : i + run + step] == b[j + run : j + run + step]:
             run, step = run + step, step * 2
         while step > 1:
             step //= 2
-            if _same(a_end, b_end, i + run, j + run, step):
+            if i + run + step <= na and j + run + step <= nb and a[i + run : i + run + step] == b[j + run : j + run + step]:
                 run += step
-        groups.extend((i + k, i + k + 1, j + k, j + k + 1) for k in range(run))
+        a_stop.extend(range(i + 1, i + run + 1))
+        b_stop.extend(range(j + 1, j + run + 1))
         i, j = i + run, j + run
-        if i >= len(a_end):
+        if i >= na:
             break
-        first_a, first_b = i, j
-        while a_end[i] != b_end[j]:
-            if a_end[i] < b_end[j]:
+        x, y = a[i], b[j]
+        while x != y:
+            if x < y:
                 i += 1
+                x = a[i]
             else:
                 j += 1
-        groups.append((first_a, i + 1, first_b, j + 1))
+                y = b[j]
         i, j = i + 1, j + 1
-    return groups
-
-
-def linked(a_end: np.ndarray, b_end: np.ndarray, group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
-    """Places of the A and B tokens of a group whose byte ranges overlap."""
-    a0, a1, b0, b1 = group
-    a_start = np.concatenate([[0], a_end])[a0:a1]
-    b_start = np.concatenate([[0], b_end])[b0:b1]
-    hit = (a_start[:, None] < b_end[None, b0:b1]) & (b_start[None, :] < a_end[a0:a1, None])
-    return [(a0 + x, b0 + y) for x, y in zip(*np.nonzero(hit))]
-
-
-def align_one(pair: Pair, a: np.ndarray, b: np.ndarray) -> tuple[int, str, Counter]:
-    """Number of groups, their text ``a1,a2|b1;...`` and the linked id pairs with how often each occurs."""
+        a_stop.append(i)
+        b_stop.append(j)
+    return a_stop, b_stop
+
+
+def aligned_groups(a_end, b_end) -> list[tuple[int, int, int, int]]:
+    """Groups as (first A, last A + 1, first B, last B + 1)."""
+    a_stop, b_stop = group_stops(a_end, b_end)
+    return list(zip([0, *a_stop[:-1]], a_stop, [0, *b_stop[:-1]], b_stop))
+
+
+def groups_text(a: np.ndarray, b: np.ndarray, a_stop: list[int], b_stop: list[int]) -> str:
+    """``a1,a2|b1;a3|b2,b3``: each group's A ids, then its B ids, groups in order."""
+    a_stop, b_stop = np.asarray(a_stop), np.asarray(b_stop)
+    a_size, b_size = np.diff(a_stop, prepend=0), np.diff(b_stop, prepend=0)
+    before = np.cumsum(a_size + b_size) - (a_size + b_size)
+    ga, gb = np.repeat(np.arange(len(a_stop)), a_size), np.repeat(np.arange(len(b_stop)), b_size)
+    at_a = before[ga] + np.arange(len(a)) - (a_stop - a_size)[ga]
+    at_b = before[gb] + a_size[gb] + np.arange(len(b)) - (b_stop - b_size)[gb]
+    words = np.empty(len(a) + len(b), object)
+    marks = np.empty(len(a) + len(b), object)
+    words[at_a], words[at_b] = list(map(str, a.tolist())), list(map(str, b.tolist()))
+    marks[at_a] = np.where(np.arange(len(a)) + 1 < a_stop[ga], ",", "|")
+    marks[at_b] = np.where(np.arange(len(b)) + 1 < b_stop[gb], ",", ";")
+    marks[-1] = ""
+    joined = np.empty(2 * len(words), object)
+    joined[0::2], joined[1::2] = words, marks
+    return "".join(joined.tolist())
+
+
+def linked_places(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all A and B tokens whose byte ranges overlap: every stretch between two ends, of either side, lies in
+    one A token and one B token, and the stretches of one overlapping pair follow each other."""
+    ends = np.union1d(a_end, b_end)
+    x, y = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+    return x[new], y[new]
+
+
+def align_one(pair: Pair, a: np.ndarray, b: np.ndarray) -> tuple[int, str, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of groups, their text ``a1,a2|b1;...``, and the distinct linked id pairs (A ids, B ids, occurrences)."""
     if not len(a):
-        return 0, "", Counter()
+        empty = np.zeros(0, np.int64)
+        return 0, "", empty, empty, empty
     a_end, b_end = np.cumsum(pair.a_len[a]), np.cumsum(pair.b_len[b])
-    groups = aligned_groups(a_end, b_end)
-    links: Counter = Counter()
-    parts = []
-    for g in groups:
-        parts.append(",".join(map(str, a[g[0] : g[1]].tolist())) + "|" + ",".join(map(str, b[g[2] : g[3]].tolist())))
-        if g[1] - g[0] == 1 and g[3] - g[2] == 1:
-            links[(int(a[g[0]]), int(b[g[2]]))] += 1
-        else:
-            links.update((int(a[x]), int(b[y])) for x, y in linked(a_end, b_end, g))
-    return len(groups), ";".join(parts), links
+    a_stop, b_stop = group_stops(a_end, b_end)
+    text = groups_text(a, b, a_stop, b_stop)
+    x, y = linked_places(a_end, b_end)
+    keys, counts = np.unique(a[x] * (1 << 32) + b[y], return_counts=True)
+    return len(a_stop), text, keys >> 32, keys & ((1 << 32) - 1), counts
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,18 +187,21 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
         pair = Pair.of_process(a_path, b_path)
         for batch in in_slices(batches, rows=200):
             texts = batch.column(1).to_pylist()
-            rows = {k: [] for k in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links")}
+            counts, digests, parts = [], [], []
             for a, b in pair.tokens(texts):
-                count, text, links = align_one(pair, a, b)
-                rows["n_a"].append(len(a))
-                rows["n_b"].append(len(b))
-                rows["n_groups"].append(count)
-                rows["n_links"].append(sum(links.values()))
-                rows["groups_sha256"].append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-                rows["links"].append([{"a": x, "b": y, "m": m} for (x, y), m in links.items()])
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("m", pa.int64())]))]
-            arrays = [batch.column(0).cast(pa.int64())] + [pa.array(rows[k], t) for k, t in zip(rows, kinds)]
-            yield pa.record_batch(arrays, ["doc_id", *rows])
+                groups, text, x, y, m = align_one(pair, a, b)
+                counts.append((len(a), len(b), groups, int(m.sum())))
+                digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+                parts.append((x, y, m))
+            offsets = pa.array(np.r_[0, np.cumsum([len(p[0]) for p in parts])].astype(np.int32))
+            lists = [
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[k] for p in parts] + [np.zeros(0, np.int64)])))
+                for k in range(3)
+            ]
+            numbers = np.array(counts, np.int64).reshape(-1, 4)
+            arrays = [batch.column(0).cast(pa.int64()), *(pa.array(numbers[:, k]) for k in range(4)), pa.array(digests, pa.string()), *lists]
+            names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "link_a", "link_b", "link_m"]
+            yield pa.record_batch(arrays, names)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, ALIGNED)
@@ -180,7 +221,8 @@ def alignment_counts(docs: DataFrame, a_path: str, b_path: str, salts: int = 64,
     from monthloom.llm.workspace import written
 
     rows = written(aligned(docs, a_path, b_path, **columns), "aligned")
-    held = rows.select("doc_id", "groups_sha256", F.explode("links").alias("l")).select("doc_id", "groups_sha256", "l.*").distinct()
+    links = F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"), F.col("link_m").alias("m"))
+    held = rows.select("doc_id", "groups_sha256", F.explode(links).alias("l")).select("doc_id", "groups_sha256", "l.*").distinct()
     pairs = held.where(F.col("doc_id").isNotNull()).select("doc_id", "a", "b").distinct().groupBy("a", "b").agg(
         F.count("*").alias("count")
     )
@@ -195,7 +237,7 @@ def alignment_counts(docs: DataFrame, a_path: str, b_path: str, salts: int = 64,
         F.sum(F.when(F.col("count") == F.col("best"), F.col("m")).otherwise(0)).alias("n_best"),
         F.sum(F.col("m") * F.col("count")).alias("count_sum"),
     )
-    per_doc = rows.drop("links").join(sums, ["doc_id", "groups_sha256"], "left")
+    per_doc = rows.drop("link_a", "link_b", "link_m").join(sums, ["doc_id", "groups_sha256"], "left")
     return per_doc.select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).cast("long").alias("n_best"),
         F.coalesce("count_sum", F.lit(0)).cast("long").alias("count_sum"), "groups_sha256",
