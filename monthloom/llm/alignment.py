@@ -220,24 +220,23 @@ def alignment_counts(docs: DataFrame, a_path: str, b_path: str, salts: int = 64,
     """
     from monthloom.llm.workspace import written
 
-    rows = written(aligned(docs, a_path, b_path, **columns), "aligned")
+    # A fixed number per row, written with it, keys the links; rows with the same doc_id and text get equal sums.
+    rows = written(aligned(docs, a_path, b_path, **columns).withColumn("rid", F.monotonically_increasing_id()), "aligned")
     links = F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"), F.col("link_m").alias("m"))
-    held = rows.select("doc_id", "groups_sha256", F.explode(links).alias("l")).select("doc_id", "groups_sha256", "l.*").distinct()
-    pairs = held.where(F.col("doc_id").isNotNull()).select("doc_id", "a", "b").distinct().groupBy("a", "b").agg(
-        F.count("*").alias("count")
-    )
+    held = rows.where(F.col("doc_id").isNotNull()).select("rid", "doc_id", F.explode(links).alias("l")).select("rid", "doc_id", "l.*")
+    pairs = held.select("doc_id", "a", "b").distinct().groupBy("a", "b").agg(F.count("*").alias("count"))
     pairs = pairs.withColumn("best", F.max("count").over(Window.partitionBy("a")))
     if fits_broadcast(pairs):
         met = held.join(F.broadcast(pairs), ["a", "b"])
     else:
         spread = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+        salted = held.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(salts)))
         met = salted.join(spread, ["a", "b", "salt"])
-    sums = met.groupBy("doc_id", "groups_sha256").agg(
+    sums = met.groupBy("rid").agg(
         F.sum(F.when(F.col("count") == F.col("best"), F.col("m")).otherwise(0)).alias("n_best"),
         F.sum(F.col("m") * F.col("count")).alias("count_sum"),
     )
-    per_doc = rows.drop("link_a", "link_b", "link_m").join(sums, ["doc_id", "groups_sha256"], "left")
+    per_doc = rows.drop("link_a", "link_b", "link_m").join(sums, "rid", "left")
     return per_doc.select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).cast("long").alias("n_best"),
         F.coalesce("count_sum", F.lit(0)).cast("long").alias("count_sum"), "groups_sha256",
