@@ -22,7 +22,7 @@ HEADLINE = (
     "monthly_panel", "shipment_panel", "history_records", "monthly_average", "season_average", "history_meta",
     "history_summary", "features", "train_test_split", "seasonal_difference", "feature_scaler", "zscore_transform",
     "ols_fit2", "ols_fit", "future_features", "hw_forecast_fixed", "hw_fit", "hw_fit_shipments", "sarma_filter_fixed",
-    "sarima_fit", "sarima_fit_shipments",
+    "sarima_fit", "sarima_fit_shipments", "ols_raw", "arma_likelihood_fixed", "sarima_mle",
     "mlp_forward_batched", "mlp_gradient", "mlp_train", "forecast_metrics", "leaderboard",
     "backtest_all", "forecast_all",
 )
