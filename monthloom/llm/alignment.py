@@ -1,10 +1,10 @@
 """Tokens of two tokenizers aligned on the bytes of each text, with corpus-wide counts of linked id pairs.
 
-Per text, the byte offsets where tokens end form two rising arrays. Walking them together, the index shift between the
-arrays stays fixed along stretches where both tokenizers cut alike; such a stretch is found by exponential probing
-(compare slices of the two end arrays at the current shift, doubling, then halving), and jumped as one-to-one groups. Where
-the ends part, the irregular group is resolved locally by advancing whichever end lies behind until they meet again,
-which sets the new shift. Linked pairs are the A and B tokens whose byte ranges overlap.
+The byte offsets where tokens end form two rising arrays. Where an end of A is also an end of B, the index shift between
+the arrays says on which diagonal the walk is; a stretch of common ends on one diagonal, next to each other, is a run of
+one-to-one groups and is taken at once. Only between runs, where the ends part, lie irregular groups. Texts whose tokens
+spell the same bytes end together in both arrays, so a whole slice of texts is walked as one pair of arrays. Linked pairs are
+the A and B tokens whose byte ranges overlap.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from monthloom.llm.tokens import Encoder, in_slices
+from monthloom.llm.workspace import written
 from monthloom.session import fits_broadcast
 
 ALIGNED = (
@@ -46,6 +47,8 @@ class Pair:
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        self.pieces = Encoder.of_process(a_path)
+        self.special = self.pieces.special
         table = _byte_level_table()
         vocab = self.a.get_vocab(with_added_tokens=True)
         added = {t.content for t in self.a.get_added_tokens_decoder().values()}
@@ -78,127 +81,123 @@ class Pair:
             held[(a_path, b_path)] = cls(a_path, b_path)
         return held[(a_path, b_path)]
 
+    def _a_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """A ids of each text, with each distinct piece encoded once; special tokens' strings go to the library as plain text."""
+        plain = [i for i, t in enumerate(texts) if not any(s in t for s in self.special)]
+        rest = sorted(set(range(len(texts))) - set(plain))
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        for i, x in zip(plain, self.pieces.encode([texts[i] for i in plain])):
+            out[i] = np.frombuffer(x, "<u4").astype(np.int64)
+        for i, e in zip(rest, self.a.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.asarray(e.ids, np.int64)
+        return out
+
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """A and B ids of each text; both empty where a text is null or empty or its tokens do not spell blank + text."""
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
         live = [i for i, t in enumerate(texts) if t]
-        a_ids = self.a.encode_batch_fast([" " + texts[i] for i in live], add_special_tokens=False)
+        a_ids = self._a_ids([" " + texts[i] for i in live])
         b_ids = self.b.encode([texts[i] for i in live], num_threads=1)
         for i, a, b in zip(live, a_ids, b_ids):
-            a, b = np.asarray(a.ids, np.int64), np.asarray(b, np.int64)
+            b = np.asarray(b, np.int64)
             whole = (" " + texts[i]).encode("utf-8")
-            spelled_a = self._spelled(a, self.a_flat, self.a_start, self.a_len)
-            if spelled_a == whole == self._spelled(b, self.b_flat, self.b_start, self.b_len):
-                out[i] = (a, b)
+            if self._spelled(b, self.b_flat, self.b_start, self.b_len) != whole:
+                continue
+            if self._spelled(a, self.a_flat, self.a_start, self.a_len) != whole:
+                # Pieces are looked up by hash; the library has the last word.
+                a = np.asarray(self.a.encode(" " + texts[i], add_special_tokens=False).ids, np.int64)
+                if self._spelled(a, self.a_flat, self.a_start, self.a_len) != whole:
+                    continue
+            out[i] = (a, b)
         return out
 
 
-def group_stops(a_end, b_end) -> tuple[list[int], list[int]]:
-    """Where each group stops in A and in B (exclusive), for two rising end arrays with the same last value.
+def diagonal_runs(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First A place, first B place and length of every run: common ends next to each other on one diagonal.
 
-    At the current index shift, slices of both arrays are compared at doubling lengths, then halving ones, to jump the
-    one-to-one stretch; where the ends part, the one behind advances until they meet, which sets the new shift.
+    A run's first end closes the irregular or one-to-one group before it; each further end closes a one-to-one group.
     """
-    a, b = list(map(int, a_end)), list(map(int, b_end))
-    na, nb = len(a), len(b)
-    a_stop: list[int] = []
-    b_stop: list[int] = []
-    i = j = 0
-    while i < na:
-        run, step = 0, 1
-        while i + run + step <= na and j + run + step <= nb and a[i + run : i + run + step] == b[j + run : j + run + step]:
-            run, step = run + step, step * 2
-        while step > 1:
-            step //= 2
-            if i + run + step <= na and j + run + step <= nb and a[i + run : i + run + step] == b[j + run : j + run + step]:
-                run += step
-        a_stop.extend(range(i + 1, i + run + 1))
-        b_stop.extend(range(j + 1, j + run + 1))
-        i, j = i + run, j + run
-        if i >= na:
-            break
-        x, y = a[i], b[j]
-        while x != y:
-            if x < y:
-                i += 1
-                x = a[i]
-            else:
-                j += 1
-                y = b[j]
-        i, j = i + 1, j + 1
-        a_stop.append(i)
-        b_stop.append(j)
-    return a_stop, b_stop
+    near = np.minimum(np.searchsorted(b_end, a_end), max(len(b_end) - 1, 0))
+    x = np.flatnonzero(b_end[near] == a_end) if len(b_end) else near
+    y = near[x]
+    starts = np.flatnonzero((np.diff(x, prepend=-2) != 1) | (np.diff(y, prepend=-2) != 1))
+    return x[starts], y[starts], np.diff(np.append(starts, len(x)))
+
+
+def group_stops(a_end, b_end) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group stops in A and in B (exclusive), for two rising end arrays with the same last value: every end
+    of every run on a diagonal."""
+    x, y, length = diagonal_runs(np.asarray(a_end), np.asarray(b_end))
+    along = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + 1
+    return np.repeat(x, length) + along, np.repeat(y, length) + along
 
 
 def aligned_groups(a_end, b_end) -> list[tuple[int, int, int, int]]:
     """Groups as (first A, last A + 1, first B, last B + 1)."""
-    a_stop, b_stop = group_stops(a_end, b_end)
+    a_stop, b_stop = (x.tolist() for x in group_stops(a_end, b_end))
     return list(zip([0, *a_stop[:-1]], a_stop, [0, *b_stop[:-1]], b_stop))
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, a_stop: list[int], b_stop: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: each group's A ids, then its B ids, groups in order."""
-    a_stop, b_stop = np.asarray(a_stop), np.asarray(b_stop)
+def groups_bytes(a: np.ndarray, b: np.ndarray, a_stop: np.ndarray, b_stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``a1,a2|b1;a3|b2,b3;`` as ASCII, each group's A ids, then its B ids, groups in order; and where each group stops."""
     a_size, b_size = np.diff(a_stop, prepend=0), np.diff(b_stop, prepend=0)
     before = np.cumsum(a_size + b_size) - (a_size + b_size)
-    ga, gb = np.repeat(np.arange(len(a_stop)), a_size), np.repeat(np.arange(len(b_stop)), b_size)
-    at_a = before[ga] + np.arange(len(a)) - (a_stop - a_size)[ga]
-    at_b = before[gb] + a_size[gb] + np.arange(len(b)) - (b_stop - b_size)[gb]
-    words = np.empty(len(a) + len(b), object)
-    marks = np.empty(len(a) + len(b), object)
-    words[at_a], words[at_b] = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    marks[at_a] = np.where(np.arange(len(a)) + 1 < a_stop[ga], ",", "|")
-    marks[at_b] = np.where(np.arange(len(b)) + 1 < b_stop[gb], ",", ";")
-    marks[-1] = ""
-    joined = np.empty(2 * len(words), object)
-    joined[0::2], joined[1::2] = words, marks
-    return "".join(joined.tolist())
+    at_a = np.arange(len(a)) + np.repeat(before - (a_stop - a_size), a_size)
+    at_b = np.arange(len(b)) + np.repeat(before + a_size - (b_stop - b_size), b_size)
+    ids, marks = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids[at_a], ids[at_b] = a, b
+    marks[at_a[a_stop - 1]], marks[at_b[b_stop - 1]] = ord("|"), ord(";")
+    width = len(str(int(ids.max(initial=0))))
+    powers = 10 ** np.arange(width - 1, -1, -1)
+    # One row per id: its digits to the right, its mark behind them; leading places are left out.
+    cells = np.empty((len(ids), width + 1), np.uint8)
+    used = np.ones((len(ids), width + 1), bool)
+    for k, p in enumerate(powers.tolist()):
+        cells[:, k] = ids // p % 10 + ord("0")
+        used[:, k] = (ids >= p) | (k == width - 1)
+    cells[:, width] = marks
+    ends = np.cumsum(used.sum(axis=1))
+    return cells[used], ends[at_b[b_stop - 1]]
 
 
 def linked_places(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all A and B tokens whose byte ranges overlap: every stretch between two ends, of either side, lies in
-    one A token and one B token, and the stretches of one overlapping pair follow each other."""
-    ends = np.union1d(a_end, b_end)
-    x, y = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
-    return x[new], y[new]
-
-
-def align_one(pair: Pair, a: np.ndarray, b: np.ndarray) -> tuple[int, str, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of groups, their text ``a1,a2|b1;...``, and the distinct linked id pairs (A ids, B ids, occurrences)."""
-    if not len(a):
-        empty = np.zeros(0, np.int64)
-        return 0, "", empty, empty, empty
+    """Places of all A and B tokens whose byte ranges overlap: every stretch between two neighbouring ends, of either side,
+    lies in one A token and one B token, and each overlapping pair has one such stretch."""
+    in_b, in_a = np.searchsorted(b_end, a_end), np.searchsorted(a_end, b_end)
+    alone = np.flatnonzero(a_end[in_a] != b_end) if len(a_end) else in_a
+    return np.r_[np.arange(len(a_end)), in_a[alone]], np.r_[in_b, alone]
+
+
+def align_slice(pair: Pair, tokens: list[tuple[np.ndarray, np.ndarray]]):
+    """(n_a, n_b, n_groups, n_links) per text, digests of the groups' texts, and the distinct linked id pairs of each text:
+    offsets of the texts, A ids, B ids, occurrences."""
+    n_a, n_b = (np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1))
+    a, b = (np.concatenate([*(t[k] for t in tokens), np.zeros(0, np.int64)]) for k in (0, 1))
+    # The texts' tokens spell the same bytes, so each text ends at one place of both arrays.
     a_end, b_end = np.cumsum(pair.a_len[a]), np.cumsum(pair.b_len[b])
     a_stop, b_stop = group_stops(a_end, b_end)
-    text = groups_text(a, b, a_stop, b_stop)
+    groups = np.searchsorted(a_stop, np.cumsum(n_a), side="right")
+    flat, ends = groups_bytes(a, b, a_stop, b_stop)
+    cuts = np.append(0, ends)[groups].tolist()
+    digests = [hashlib.sha256(flat[x : y - 1]).hexdigest() if y > x else "" for x, y in zip([0, *cuts[:-1]], cuts)]
     x, y = linked_places(a_end, b_end)
-    keys, counts = np.unique(a[x] * (1 << 32) + b[y], return_counts=True)
-    return len(a_stop), text, keys >> 32, keys & ((1 << 32) - 1), counts
+    text = np.repeat(np.arange(len(tokens)), n_a)[x]
+    wide, high = np.int64(len(pair.b_len)), np.int64(len(pair.b_len)) * len(pair.a_len)
+    keys, counts = np.unique(text * high + a[x] * wide + b[y], return_counts=True)
+    offsets = np.searchsorted(keys, np.arange(len(tokens) + 1) * high)
+    numbers = np.stack([n_a, n_b, np.diff(groups, prepend=0), np.bincount(text, minlength=len(tokens))], axis=1)
+    keys %= high
+    return numbers, digests, (offsets, keys // wide, keys % wide, counts)
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and its linked id pairs with their multiplicity."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from monthloom.llm.tokens import in_slices
-
         pair = Pair.of_process(a_path, b_path)
         for batch in in_slices(batches, rows=200):
-            texts = batch.column(1).to_pylist()
-            counts, digests, parts = [], [], []
-            for a, b in pair.tokens(texts):
-                groups, text, x, y, m = align_one(pair, a, b)
-                counts.append((len(a), len(b), groups, int(m.sum())))
-                digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-                parts.append((x, y, m))
-            offsets = pa.array(np.r_[0, np.cumsum([len(p[0]) for p in parts])].astype(np.int32))
-            lists = [
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[k] for p in parts] + [np.zeros(0, np.int64)])))
-                for k in range(3)
-            ]
-            numbers = np.array(counts, np.int64).reshape(-1, 4)
+            numbers, digests, (offsets, *links) = align_slice(pair, pair.tokens(batch.column(1).to_pylist()))
+            lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x)) for x in links]
             arrays = [batch.column(0).cast(pa.int64()), *(pa.array(numbers[:, k]) for k in range(4)), pa.array(digests, pa.string()), *lists]
             names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "link_a", "link_b", "link_m"]
             yield pa.record_batch(arrays, names)
@@ -218,13 +217,19 @@ def alignment_counts(docs: DataFrame, a_path: str, b_path: str, salts: int = 64,
     counts links whose pair count is the highest of their A id, ties included; ``count_sum`` adds the counts of all links.
     Other columns are not read.
     """
-    from monthloom.llm.workspace import written
-
     # A fixed number per row, written with it, keys the links; rows with the same doc_id and text get equal sums.
     rows = written(aligned(docs, a_path, b_path, **columns).withColumn("rid", F.monotonically_increasing_id()), "aligned")
+    known = rows.where(F.col("doc_id").isNotNull())
     links = F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"), F.col("link_m").alias("m"))
-    held = rows.where(F.col("doc_id").isNotNull()).select("rid", "doc_id", F.explode(links).alias("l")).select("rid", "doc_id", "l.*")
-    pairs = held.select("doc_id", "a", "b").distinct().groupBy("a", "b").agg(F.count("*").alias("count"))
+    held = known.select("rid", F.explode(links).alias("l")).select("rid", "l.*")
+    # A row's pairs are distinct, so those of a doc_id of one row are counted where they lie; only doc_ids of several rows
+    # have theirs made distinct first.
+    repeated = written(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    ends = F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"))
+    listed = lambda some: some.select("doc_id", F.explode(ends).alias("l")).select("doc_id", "l.*")
+    once = listed(known.join(repeated, "doc_id", "left_anti"))
+    again = listed(known.join(repeated, "doc_id", "left_semi")).distinct()
+    pairs = once.union(again).groupBy("a", "b").agg(F.count("*").alias("count"))
     pairs = pairs.withColumn("best", F.max("count").over(Window.partitionBy("a")))
     if fits_broadcast(pairs):
         met = held.join(F.broadcast(pairs), ["a", "b"])

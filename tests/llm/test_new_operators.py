@@ -242,3 +242,21 @@ def test_maxscore_blocks_equal_brute_force_on_signed_low_dimensions():
             scores, found = block.best(query, own, k, scores, found)
         everyone = sorted((-int(v @ query), int(i)) for i, v in zip(ids, vectors) if i != own)[:k]
         assert list(zip((-scores).tolist(), found.tolist())) == everyone, case
+
+
+def test_alignment_of_a_slice_equals_its_texts_alone(pair):
+    texts = [None, "Hello world", "", "é漢😀 \u0001 x", "  two  blanks\tand tab", "don't we'll 1234567 3.14", "Hello world", None]
+    tokens = pair.tokens(texts)
+    numbers, digests, (offsets, a, b, m) = alignment.align_slice(pair, tokens)
+    for i, text in enumerate(texts):
+        one, digest, (_, *links) = alignment.align_slice(pair, [tokens[i]])
+        assert numbers[i].tolist() == one[0].tolist() and digests[i] == digest[0] and (digests[i] != "") == bool(len(tokens[i][0]))
+        assert [x[offsets[i] : offsets[i + 1]].tolist() for x in (a, b, m)] == [x.tolist() for x in links]
+        assert _alignment_brute(pair, [(1, text)])[(1, digests[i])][:4] == tuple(numbers[i].tolist())
+    assert alignment.align_slice(pair, [])[1] == []
+
+
+def test_alignment_asks_the_library_when_looked_up_pieces_spell_something_else(pair, monkeypatch):
+    want = pair.tokens(["Hello world, again"])[0][0].tolist()
+    monkeypatch.setattr(pair.pieces, "encode", lambda texts: [np.array([5, 6], "<u4").tobytes() for _ in texts])
+    assert pair.tokens(["Hello world, again"])[0][0].tolist() == want and len(want) > 2
