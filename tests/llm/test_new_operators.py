@@ -64,6 +64,29 @@ def test_passages_with_small_shards_and_groups(spark):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == _passages_brute(rows)
 
 
+def test_passages_of_equal_ids_and_different_texts(spark):
+    shared = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "a " + shared), (1, "b " + shared), (2, "c " + shared[:90]), (2, "d\u00a0d\x0b" + shared), (None, shared), (None, None)]
+    got = phrases.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = Counter((r[0], *_passages_brute([(1, "a " + shared), r])[r[0]]) for r in rows[2:4]) + Counter(
+        (r[0], *_passages_brute([r])[r[0]]) for r in rows[:2] + rows[4:]
+    )
+    assert Counter(tuple(r) for r in got) == want
+
+
+def test_equal_windows_have_equal_anchors_and_few_windows_are_candidates():
+    reader = phrases.Reader()
+    texts = [" ".join(f"{t}{i}" for i in range(400)) + " " + " ".join(f"s{i}" for i in range(30)) for t in "ab"]
+    words = reader.words([t.encode() for t in texts])
+    first, text = words.windows(13)
+    anchors = words.anchors(13, first)
+    assert len(first) == 2 * 418 and len(np.unique(anchors)) < 0.4 * len(anchors)
+    both = np.isin(anchors, np.intersect1d(anchors[text == 0], anchors[text == 1]))
+    shared = first - words.bounds[text] >= 400
+    # Up to 7 windows before the shared words lie half in them and may have an anchor of theirs.
+    assert both[shared].all() and shared.sum() == 36 and both.sum() <= 36 + 2 * 7
+
+
 def test_passages_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert phrases.repeated_passages(df).collect() == []
