@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from monthloom.llm.tokens import encoded
+from monthloom.llm.tokens import SLICE, encoded, in_slices
 from monthloom.llm.workspace import written
 
 PIECES = (
@@ -30,6 +30,37 @@ def with_bases(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(bases), "part")
 
 
+def cut_pieces(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of (doc_id, at, n_tokens, ids) rows, cut where a window ends."""
+    # Views, cuts and the pieces made of them are held for a slice at a time, not for a whole batch.
+    for batch in in_slices(batches, SLICE):
+        docs_, ids = batch.column("doc_id"), batch.column("ids")
+        first = batch.column("at").to_numpy()
+        counts = batch.column("n_tokens").to_numpy()
+        windows = (first + counts - 1) // window - first // window + 1
+        row = np.repeat(np.arange(len(counts)), windows)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+        sequence = first[row] // window + nth
+        begin = np.maximum(sequence * window, first[row])
+        end = np.minimum((sequence + 1) * window, first[row] + counts[row])
+        start, length = begin - first[row], end - begin
+        # Pieces follow each other as the ids do, so they share the ids' buffer and only have offsets of their own. (An
+        # array made from memoryviews would keep each view, and its ids, for the life of the worker.)
+        ids = ids.cast(pa.large_binary())
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        offsets = np.append(at[row] + 4 * start, at[-1:]) - at[0]
+        flat = ids.buffers()[2].slice(at[0], at[-1] - at[0])
+        cuts = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int32)), flat])
+        yield pa.record_batch(
+            [
+                docs_.take(pa.array(row)), pa.array(start), pa.array(length), cuts,
+                pa.array(counts[row]), pa.array(sequence), pa.array(begin - sequence * window),
+                pa.array(start == 0), pa.array(end == first[row] + counts[row]),
+            ],
+            ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "is_first", "is_last"],
+        )
+
+
 def pack(
     docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -46,32 +77,9 @@ def pack(
     """
     table = written(encoded(docs, tokenizer, end_id, id_col, text_col), "packing")
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs_, ids = batch.column("doc_id"), batch.column("ids")
-            first = batch.column("at").to_numpy()
-            counts = batch.column("n_tokens").to_numpy()
-            windows = (first + counts - 1) // window - first // window + 1
-            row = np.repeat(np.arange(len(counts)), windows)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-            sequence = first[row] // window + nth
-            begin = np.maximum(sequence * window, first[row])
-            end = np.minimum((sequence + 1) * window, first[row] + counts[row])
-            start, length = begin - first[row], end - begin
-            bytes_ = [memoryview(x.as_buffer()) for x in ids]
-            cuts = [bytes_[r][4 * s : 4 * (s + n)] for r, s, n in zip(row.tolist(), start.tolist(), length.tolist())]
-            yield pa.record_batch(
-                [
-                    docs_.take(pa.array(row)), pa.array(start), pa.array(length), pa.array(cuts, pa.binary()),
-                    pa.array(counts[row]), pa.array(sequence), pa.array(begin - sequence * window),
-                    pa.array(start == 0), pa.array(end == first[row] + counts[row]),
-                ],
-                ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "is_first", "is_last"],
-            )
-
     placed = with_bases(table, table.select("part", "n_tokens"))
     placed = placed.select("doc_id", (F.col("base") + F.col("local_start")).alias("at"), "n_tokens", "ids")
-    return placed.mapInArrow(cut, PIECES.format(kind=placed.schema["doc_id"].dataType.simpleString()))
+    return placed.mapInArrow(lambda batches: cut_pieces(batches, window), PIECES.format(kind=placed.schema["doc_id"].dataType.simpleString()))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

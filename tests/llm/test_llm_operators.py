@@ -6,15 +6,17 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from monthloom.llm import decontaminate, jaccard, licenses, packing, quality, secretscan, suffixes, tokenfiles, topk, urls
+from monthloom.llm import decontaminate, jaccard, licenses, packing, quality, secretscan, suffixes, tokenfiles, tokens, topk, urls
 from monthloom.llm.components import components
 from monthloom.llm.registered import BLOCKED_URLS, TOKENIZER, URL_RULES
 from monthloom.llm.tokens import Encoder
@@ -321,3 +323,25 @@ def test_network_gradient():
 
 def test_tokenizer_is_not_in_the_repository():
     assert public_tokenizers.path("byte_bpe_50k.json") == TOKENIZER
+
+
+def test_cutting_leaves_nothing_behind():
+    ids = [np.arange(i, i + 300, dtype="<u4").tobytes() for i in range(200)]
+    columns = [pa.array(range(200)), pa.array(range(0, 60000, 300)), pa.array([300] * 200), pa.array(ids, pa.binary())]
+    batch = pa.record_batch(columns, ["doc_id", "at", "n_tokens", "ids"])
+
+    def cut() -> list[bytes]:
+        return b"".join(x for b in packing.cut_pieces([batch.slice(3)], 64) for x in b.column("ids").to_pylist())
+
+    assert cut() == b"".join(ids[3:])
+    before = sys.getallocatedblocks()
+    for _ in range(20):
+        cut()
+    assert sys.getallocatedblocks() - before < 2000
+
+
+def test_text_slices_hold_every_text_once():
+    texts = pa.array([b"x" * n for n in (0, 10, 0, 300, 5, 900, 1)], pa.binary())
+    parts = [p.to_pylist() for p in tokens.text_slices(texts, 256)]
+    assert sum(parts, []) == texts.to_pylist() and len(parts) > 2
+    assert list(tokens.text_slices(texts.slice(0, 0))) == []
