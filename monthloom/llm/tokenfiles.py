@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthloom.llm.packing import with_bases
-from monthloom.llm.tokens import Encoder, in_slices
+from monthloom.llm.tokens import SLICE, Encoder, in_slices
 from monthloom.llm.workspace import new_folder
 
 MANIFEST = "part int, docs long, n_tokens long, width int"
@@ -44,42 +45,62 @@ def write_token_files(
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = Encoder.of_process(tokenizer), TaskContext.get()
-        part, width = context.partitionId(), 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
-        system, base = shared(folder)
-        system.create_dir(base, recursive=True)
-        attempt = f"{base}/.{part}-{context.taskAttemptId()}"
-        offsets, keys, total = [np.zeros(1, np.int64)], [], 0
-        with system.open_output_stream(f"{attempt}.ids") as out:
-            for batch in in_slices(batches):
-                ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-                counts = np.array([len(x) // 4 + 1 for x in ids], np.int64)
-                end = np.array([end_id], "<u4").tobytes()
-                flat = np.frombuffer(b"".join([y for x in ids for y in (x, end)]), "<u4")
-                out.write(flat.astype(f"<u{width}").tobytes())
-                offsets.append(total + np.cumsum(counts))
-                keys.append(batch.column(0))
-                total += int(counts.sum())
-        if not keys:
-            system.delete_file(f"{attempt}.ids")
-            return
-        with system.open_output_stream(f"{attempt}.offsets") as out:
-            out.write(np.concatenate(offsets).astype("<i8").tobytes())
-        table = pa.table({"key": pa.chunked_array(keys)})
-        with system.open_output_stream(f"{attempt}.keys") as out, pa.ipc.new_file(out, table.schema) as writer:
-            writer.write_table(table)
-        for kind in ("ids", "offsets", "keys"):
-            system.move(f"{attempt}.{kind}", f"{base}/{part}.{kind}")
-        row = ([part], [len(table)], [total], [width])
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32())
-        yield pa.record_batch([pa.array(v, t) for v, t in zip(row, types)], ["part", "docs", "n_tokens", "width"])
+        context = TaskContext.get()
+        counts = write_part(batches, folder, context.partitionId(), context.taskAttemptId(), tokenizer, end_id)
+        if counts:
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.record_batch([pa.array([v], t) for v, t in zip(counts, types)], ["part", "docs", "n_tokens", "width"])
 
     narrow = docs.select(
         F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"),
         F.monotonically_increasing_id().alias("place"),
     )
     ordered = narrow.repartitionByRange("key", "place").sortWithinPartitions("key", "place")
-    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    # One row per part, gathered into a few files: a file of its own per part costs an executor several processes (the
+    # `chmod` of Hadoop's local file system), each of which passes for a second JVM of the same memory while it starts.
+    manifest = ordered.mapInArrow(run, MANIFEST).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    manifest.write.parquet(f"{folder}/manifest")
+
+
+def write_part(
+    batches: Iterable[pa.RecordBatch], folder: str, part: int, attempt: int, tokenizer: str, end_id: int
+) -> tuple[int, int, int, int] | None:
+    """Write the files of one part from its (key, text) rows; the manifest's row, or none without rows.
+
+    Ids and keys go to their files slice by slice. Of what was written, only offsets are held: kept keys would keep the
+    texts they came with.
+    """
+    slices = in_slices(batches, SLICE)
+    first = next(slices, None)
+    if first is None:
+        return None
+    schema = pa.schema([("key", first.schema.field(0).type)])
+    slices = chain([first], slices)
+    del first
+    encoder = Encoder.of_process(tokenizer)
+    width = 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
+    end = np.array([end_id], "<u4").tobytes()
+    system, base = shared(folder)
+    system.create_dir(base, recursive=True)
+    name = f"{base}/.{part}-{attempt}"
+    offsets, total = [np.zeros(1, np.int64)], 0
+    with (
+        system.open_output_stream(f"{name}.ids") as out,
+        system.open_output_stream(f"{name}.keys") as file, pa.ipc.new_file(file, schema) as writer,
+    ):
+        for batch in slices:
+            ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            counts = np.array([len(x) // 4 + 1 for x in ids], np.int64)
+            flat = np.frombuffer(b"".join([y for x in ids for y in (x, end)]), "<u4")
+            out.write(flat.astype(f"<u{width}").tobytes())
+            writer.write_batch(pa.record_batch([batch.column(0)], schema))
+            offsets.append(total + np.cumsum(counts))
+            total += int(counts.sum())
+    with system.open_output_stream(f"{name}.offsets") as out:
+        out.write(np.concatenate(offsets).astype("<i8").tobytes())
+    for kind in ("ids", "offsets", "keys"):
+        system.move(f"{name}.{kind}", f"{base}/{part}.{kind}")
+    return part, sum(map(len, offsets)) - 1, total, width
 
 
 def read_token_files(spark: SparkSession, folder: str, key_type: str = "long", with_ids: bool = False) -> DataFrame:
@@ -99,8 +120,10 @@ def read_token_files(spark: SparkSession, folder: str, key_type: str = "long", w
                     offsets = np.frombuffer(places.read_buffer(), "<i8")
                     with opened(f"{base}/{part}.keys") as file:
                         keys = pa.ipc.open_file(file).read_all().column("key").combine_chunks()
-                        for a in range(0, len(keys), 2000):
-                            yield _documents(keys[a : a + 2000], offsets[a : a + 2001], first, width, ids, with_ids)
+                        # Slices of as many ids as fit SLICE bytes; a longer single document is a slice of its own.
+                        starts = np.flatnonzero(np.diff(offsets[1:] * 4 // SLICE, prepend=-1)).tolist()
+                        for a, b in zip(starts, [*starts[1:], len(keys)]):
+                            yield _documents(keys[a:b], offsets[a : b + 1], first, width, ids, with_ids)
 
     columns = f"key {key_type}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     # One row per part: dealt out so that each task maps a few files.

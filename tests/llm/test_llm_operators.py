@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from monthloom.llm import decontaminate, jaccard, licenses, packing, quality, secretscan, suffixes, tokenfiles, tokens, topk, urls
@@ -345,3 +346,39 @@ def test_text_slices_hold_every_text_once():
     parts = [p.to_pylist() for p in tokens.text_slices(texts, 256)]
     assert sum(parts, []) == texts.to_pylist() and len(parts) > 2
     assert list(tokens.text_slices(texts.slice(0, 0))) == []
+
+
+def test_token_file_parts_share_manifest_files(spark, docs, tmp_path):
+    """A manifest file per part made each task start processes of its own."""
+    few = spark.sparkContext.defaultParallelism
+    settings = {"spark.sql.shuffle.partitions": str(40 + few), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        many = spark.range(10 * few).select("id", F.format_string("text of %s", "id").alias("text"))
+        tokenfiles.write_token_files(many, str(tmp_path / "files"), TOKENIZER, 2, "id")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    parts = len(list((tmp_path / "files").glob("*.ids")))
+    assert len(list((tmp_path / "files/manifest").glob("part-*.parquet"))) <= few < parts
+    assert {r.key for r in tokenfiles.read_token_files(spark, str(tmp_path / "files")).collect()} == set(range(10 * few))
+
+
+def test_token_files_hold_no_texts(tmp_path):
+    """A key column kept from a batch that came in one buffer would keep its texts."""
+
+    def batches():
+        for i in range(30):
+            rows, out = pa.record_batch([pa.array([i]), pa.array(["word " * 40_000])], ["key", "text"]), pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema) as writer:
+                writer.write_batch(rows)
+            yield pa.ipc.open_stream(out.getvalue()).read_next_batch()
+            held.append(pa.total_allocated_bytes())
+
+    held = []
+    assert tokenfiles.write_part(batches(), str(tmp_path), 3, 0, TOKENIZER, 2)[:2] == (3, 30)
+    assert max(held) - held[1] < 3 * 200_000
+    assert tokenfiles.write_part(iter(()), str(tmp_path), 4, 0, TOKENIZER, 2) is None
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["3.ids", "3.keys", "3.offsets"]
